@@ -7,15 +7,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwarden.llm import bpe, mixing, simhash
+from pyspark.sql import functions as F
+
+from sparkwarden.llm import bpe, language, mixing, pii, simhash
 from sparkwarden.llm.common import shared_folder
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are near no language's centroids go; the others take the predicted language."""
+    model = language.train(docs, ~language.held_out(F.col("doc_id")))
+    found = language.identify(docs, model).where("not lang_rejected")
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.keep_one(docs).select(*docs.columns)
 
 
+def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data gives way to its kind."""
+    return pii.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, pass by pass."""
     return mixing.mixed_texts(docs)
@@ -27,7 +41,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("pii", remove_pii),
     ("mixing", mix_sources),
     ("bpe", encode),
 ]
