@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, language, mixing, neighbours, pii, simhash
+from sparkwarden.llm import bpe, language, mixing, neighbours, pii, ppm, quality, rules, simhash, toxicity
 from sparkwarden.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"))
+    weights = toxicity.train(docs, table(spark, sf_dir, "labels"), ~out)
+    return toxicity.score(docs, weights).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
@@ -20,6 +26,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), quality.held_out(F.col("doc_id"))
+    style = quality.train(docs, table(spark, sf_dir, "labels"), ~out)
+    return quality.score(docs, style).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.held_out(F.col("doc_id"))
@@ -28,10 +40,21 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), ppm.held_out(F.col("doc_id"))
+    scored = ppm.score(docs, ~out & F.col("doc_id").isNotNull())
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -41,6 +64,6 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors.where("vec_id % 20 = 0"), vectors)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_mixing, op5_language, op7_simhash, op9_pii, op10_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_mixing, op4_quality, op5_language, op6_rules, op7_simhash, op8_ppm, op9_pii, op10_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {}
