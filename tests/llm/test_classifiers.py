@@ -41,13 +41,13 @@ def test_odd_rows(spark, module):
 def test_label_model_finds_reliabilities():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.2
-    rates = [(0.9, 0.05), (0.8, 0.1), (0.7, 0.02), (0.5, 0.5)]
+    rates = [(0.9, 0.05), (0.8, 0.1), (0.7, 0.02), (0.5, 0.5), (0.5, 0.5)]
     bits = np.stack([np.where(y, rng.random(len(y)) < a, rng.random(len(y)) < b) for a, b in rates], 1)
-    bits[:, 1] = np.where(rng.random(len(y)) < 0.8, bits[:, 0], bits[:, 1])  # voters 0 and 1 depend on each other
-    votes = (bits << np.arange(4)).sum(1)
+    bits[:, 4] = np.where(rng.random(len(y)) < 0.8, bits[:, 3], bits[:, 4])  # voters 3 and 4 depend on each other
+    votes = (bits << np.arange(5)).sum(1)
     values, n = np.unique(votes, return_counts=True)
-    model = toxicity.label_model(dict(zip(values.tolist(), n.tolist())), {}, 4, 3)
-    assert abs(model.prior - 0.2) < 0.06 and any({0, 1} <= set(g) for g in model.groups)
+    model = toxicity.label_model(dict(zip(values.tolist(), n.tolist())), {}, 5, 3)
+    assert abs(model.prior - 0.2) < 0.06 and any({3, 4} <= set(g) for g in model.groups)
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.9
 
 
