@@ -57,6 +57,28 @@ def features(text: str | None) -> np.ndarray:
     return np.array(sorted(found), np.int32)
 
 
+class Sieve:
+    """The numbers, among those of a mask, that a text's words have; each distinct word is looked up once."""
+
+    def __init__(self, mask: np.ndarray) -> None:
+        self.mask, self.known = mask, {}
+
+    def __call__(self, text: str | None) -> set[int]:
+        found: set[int] = set()
+        if not text:
+            return found
+        known = self.known
+        for token in set(TOKEN.findall(text.lower())):
+            got = known.get(token)
+            if got is None:
+                if len(known) > 300_000:
+                    known.clear()
+                got = known[token] = tuple(n for n in _of_token(token) if self.mask[n]) or ()
+            if got:
+                found.update(got)
+        return found
+
+
 def sample_rows(docs: DataFrame, *extra: str) -> list[tuple]:
     """(features, *extra) of the rows of a bounded frame."""
 
@@ -74,8 +96,11 @@ def telling(rows: Rows, target: np.ndarray, least: float = 3.0, lift: float = 3.
 
     target: each row's label or posterior. likelihood: least log-likelihood ratio statistic (10.8: one in a thousand by chance).
     """
-    pos = np.bincount(rows.values, np.repeat(target, np.diff(rows.starts)), DIMS)
-    all_rows = np.bincount(rows.values, minlength=DIMS)
+    pos, all_rows = np.zeros(DIMS), np.zeros(DIMS)
+    for k in range(0, len(rows), 1024):
+        part = rows.take(np.arange(k, min(k + 1024, len(rows))))
+        pos += part.gradient(target[k : k + 1024], DIMS)
+        all_rows += np.bincount(part.values, minlength=DIMS)
     base = float(np.clip(target.mean(), 1e-6, 1 - 1e-6))
     share = np.clip(pos / np.maximum(all_rows, 1), 1e-9, 1 - 1e-9)
     g = 2 * (pos * np.log(share / base) + (all_rows - pos) * np.log((1 - share) / (1 - base)))
@@ -90,19 +115,22 @@ class Voters:
 
     lexicons: list[np.ndarray]
     marks: np.ndarray = field(init=False)
+    sieve: Sieve = field(init=False)
 
     def __post_init__(self) -> None:
         self.marks = np.zeros(DIMS, np.uint8)
         for k, words in enumerate(self.lexicons):
             self.marks[words] |= 1 << k
+        self.sieve = Sieve(self.marks > 0)
 
     def __len__(self) -> int:
         return len(self.lexicons) + 1 + len(PATTERNS)
 
-    def vote(self, text: str | None, found: np.ndarray) -> int:
-        hits = self.marks[found]
-        out = int(np.bitwise_or.reduce(hits))
-        words = int(np.count_nonzero(hits[found < RANGE])) if out else 0
+    def vote(self, text: str | None) -> int:
+        out = words = 0
+        for n in self.sieve(text):
+            out |= int(self.marks[n])
+            words += n < RANGE
         out |= (words >= 2) << len(self.lexicons)
         for k, (hint, pattern) in enumerate(PATTERNS):
             if text and hint(text) and (pattern is None or pattern.search(text)):
@@ -117,7 +145,7 @@ def count_votes(docs: DataFrame, voters: Voters) -> dict[int, int]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[int] = Counter()
         for x in batches:
-            n.update(sent.value.vote(t, features(t)) for t in x["text"])
+            n.update(sent.value.vote(t) for t in x["text"])
         yield pd.DataFrame({"votes": list(n), "n": list(n.values())}, dtype="int64")
 
     return {r.votes: r.n for r in docs.select("text").mapInPandas(count, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
@@ -184,7 +212,7 @@ def label_model(counts: dict[int, int], known: dict[int, tuple[int, int]], voter
     return run(sorted(groups))[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = 12_000, fitted: int = 12_000) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = 9_000, fitted: int = 9_000) -> np.ndarray:
     """Classifier weights, learnt from labels(doc_id, toxic) and docs(doc_id, text) of the rows where `learn` holds.
 
     labelled bounds the labelled rows that lexicons come from, fitted the other rows that the classifier is fitted
@@ -208,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = 12_
 
     @F.pandas_udf("long")
     def votes(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.vote(t, features(t)) for t in texts], dtype="int64")
+        return pd.Series([sent.value.vote(t) for t in texts], dtype="int64")
 
     seen = Counter({(r["_votes"], r["_toxic"]): r["n"] for r in pool.join(F.broadcast(chosen), "doc_id").withColumn("_votes", votes("text")).groupBy("_votes", "_toxic").agg(F.count("*").alias("n")).collect()})
     model = label_model(counts, {v: (seen[v, 0], seen[v, 1]) for v, _ in seen}, len(voters), len(voters.lexicons))
@@ -233,12 +261,13 @@ def score(docs: DataFrame, weights: np.ndarray, least: float = 0.3) -> DataFrame
 
     Null and empty texts score what the classifier gives to no words at all. Rows are handled one by one.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    sent = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), Sieve(weights != 0)))
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in texts:
-            yield pd.Series(sigmoid(np.array([sent.value[features(t)].sum(dtype=float) for t in x])))
+            w, sieve = sent.value
+            yield pd.Series(sigmoid(np.array([float(w[-1]) + sum(w[sorted(sieve(t))].tolist()) for t in x], float)))
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), of(F.col("text").cast("string")).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= least, 1).otherwise(0))
