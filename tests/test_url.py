@@ -1,0 +1,108 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkwarden.functions.url import parsed
+from sparkwarden.operators import matrix, models, scoring
+from sparkwarden.operators.features import MATRIX, NAMES, features
+from sparkwarden.sources import io
+
+SPLITS = [
+    ("http://a.com/x/y;p=1?q=1#f", "http", "a.com", "/x/y", "q=1", "f"), ("http://a.com/x;v=2/y", "http", "a.com", "/x;v=2/y", "", ""), ("http://a.com\t/x\ny", "http", "a.com", "/xy", "", ""),
+    ("HTTPS://A.Com/X", "https", "A.Com", "/X", "", ""), (" http://a.com", "http", "a.com", "", "", ""), ("http://u:p@a.com:80/", "http", "u:p@a.com:80", "/", "", ""),
+    ("mailto:a@b.com", "http", "mailto:a@b.com", "", "", ""), ("//a.com/x", "http", "a.com", "/x", "", ""), ("http://[::1]:80/x", "http", "[::1]:80", "/x", "", ""), ("http://[bad/x", "http", "http:", "//[bad/x", "", ""),
+    ("localhost/foo.html", "http", "", "localhost/foo.html", "", ""), ("http:///x.y/z", "http", "", "/x.y/z", "", ""), ("", "http", "", "", "", ""),
+]
+HOSTS = [("http://a.b.co.uk/", "a", "b", "co.uk"), ("br-icloud.com.br", "", "br-icloud", "com.br"), ("http://x.unknowntld/", "x", "unknowntld", ""), ("http://192.168.1.1/", "", "192.168.1.1", ""), ("http://bit.ly/x", "", "bit", "ly"), ("http://login.evil.tk/", "login", "evil", "tk"), ("http://a.b.c.ck/", "a", "b", "c.ck"), ("http://x.www.ck/", "x", "www", "ck")]
+GOLDEN = [
+    ("br-icloud.com.br", 3.375, 3.375, 4, 0, 6, 3, 0.933333, 0.1875, 0.0), ("mp3raid.com/music/krizz_kaliko.html", 4.079143, 3.277613, 2, 2, 6, 4, 1.0, 0.142857, 11.0),
+    ("http://192.168.1.1/admin", 3.772055, 2.299896, 4, 1, 6, 4, 0.913043, 0.291667, 5.0), ("http://a.com/x/y;p=1?q=1&&r#f", 4.237291, 2.321928, 2, 2, 5, 3, 0.964286, 0.448276, 1.0),
+    ("HTTPS://WWW.Pay-Pal.com:8080/Login.JSON?a=0x1F", 4.685968, 3.584184, 4, 1, 3, 3, 0.933333, 0.23913, 10.0), ("http://u:p@999.9.9.9:80/", 3.177694, 2.608459, 4, 0, 6, 4, 0.782609, 0.416667, 0.0),
+]
+
+
+def urls(spark, values):
+    return spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, url string")
+
+
+def test_splits(spark):
+    got = parsed(urls(spark, [x[0] for x in SPLITS])).orderBy("k").select("u.scheme", "u.domain", "u.path", "u.query", "u.fragment").collect()
+    assert [tuple(r) for r in got] == [x[1:] for x in SPLITS]
+
+
+def test_suffixes(spark):
+    got = parsed(urls(spark, [x[0] for x in HOSTS])).orderBy("k").select("u.subdomain", "u.registered", "u.suffix").collect()
+    assert [tuple(r) for r in got] == [x[1:] for x in HOSTS]
+
+
+def test_golden_features(spark):
+    names = ("entropy", "domain_entropy", "domain_token_count", "path_token_count", "paypal_min_distance", "bank_min_distance", "unique_2gram_ratio", "special_char_ratio", "avg_dir_length")
+    got = features(urls(spark, [x[0] for x in GOLDEN]), keep=("k",), names=names).orderBy("k").collect()
+    for r, want in zip(got, GOLDEN):
+        assert [r[n] for n in names] == pytest.approx(want[1:], abs=1e-6)
+
+
+def test_names_and_properties(spark):
+    assert len(NAMES) == 79 and len(MATRIX) == 78 and "tld" not in MATRIX
+    df = features(urls(spark, [x[0] for x in SPLITS + GOLDEN] + [None]))
+    assert tuple(df.columns) == NAMES
+    for r in df.where("url_length is not null").collect():
+        assert r.path_depth == r.dir_count and r.has_at_symbol == (r.count_ats > 0)
+        assert r.min_brand_distance == min(r[c] for c in NAMES if c.endswith("_min_distance"))
+        assert all(0 <= r[c] <= 1 for c in NAMES if c.startswith("unique_") or c.endswith("case_ratio"))
+
+
+def test_scaler_and_weights(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0)], "a double, b double")
+    state = {r.feature: (r["mean"], r["scale"]) for r in matrix.fitted_scaler(df, ("a", "b")).collect()}
+    assert state["a"] == pytest.approx((2, 0.816497), abs=1e-6) and state["b"] == (5, 1)
+    new = spark.createDataFrame([(2.0, 9.0)], "a double, b double")
+    assert matrix.scaled(new, matrix.fitted_scaler(df, ("a", "b"))).first() == (0, 4)
+    bad = spark.createDataFrame([("x", None)], "a string, b double")
+    assert matrix.aligned(bad, names=("a", "b", "c")).first() == (0, 0, 0)
+
+
+def test_votes_and_report(spark):
+    votes = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 0, 0), (1, 1, 1, 0), (1, 1, 1, 1)], "a int, b int, c int, d int")
+    assert [r[0] for r in votes.select(models.hard_vote(*map(F.col, "abcd"))).collect()] == [0, 0, 0, 1, 1]
+    df = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (0, 0), (0, 1)], "y int, pred int")
+    assert models.accuracy(df).first()[0] == 0.6
+    assert [tuple(r) for r in models.confusion(df).collect()] == [(0, 1, 1), (1, 1, 2)]
+    rows = {r.label: r for r in models.report(df).collect()}
+    assert rows["1"].precision == pytest.approx(2 / 3) and rows["0"].recall == 0.5 and rows["accuracy"].f1 == 0.6
+
+
+def test_csv(spark, tmp_path):
+    (tmp_path / "u.csv").write_bytes("domain,label,extra\na.com,1,x\nb.com,0\nc.com,1,x,y\n,1,z\né.com,1.0,x\nd.com,,x\n".encode("latin-1"))
+    rows, skipped = io.labelled_urls(spark, str(tmp_path / "u.csv"))
+    assert sorted(map(tuple, rows.collect())) == [("a.com", 1), ("b.com", 0), ("é.com", 1)]
+    assert skipped.count() == 1
+    (tmp_path / "v.csv").write_text("domain,x\na,1\n")
+    with pytest.raises(ValueError):
+        io.labelled_urls(spark, str(tmp_path / "v.csv"))
+
+
+def test_requests(spark):
+    raw = spark.createDataFrame([('{"url": "https://a.com/x"}',), ('{"url": "ftp://a"}',), ("junk",), (None,)], "value string")
+    good, bad = io.requests(raw)
+    assert [r.url for r in good.collect()] == ["https://a.com/x"] and bad.count() == 3
+
+
+def test_trusted_hosts(spark):
+    df = urls(spark, ["https://www.github.com/x", "https://gist.github.com/", "https://github.com:8443/", "https://github.com.evil.tk/"])
+    model = lambda x: x.withColumns({"prediction": F.lit(1), "probability": F.lit(-1.0)})
+    scored = scoring.score(df, model)
+    assert {r.k: (r.prediction, r.whitelisted) for r in scored.collect()} == {0: (0, True), 1: (1, False), 2: (1, False), 3: (1, False)}
+    assert scoring.prediction_log(scored).count() == 3
+
+
+def test_feedback_rules(spark):
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    shown = spark.createDataFrame([("a", at(0), "u"), ("b", at(1), "v"), ("c", at(0), "w")], "id string, shown_ts timestamp, url string")
+    clicks = spark.createDataFrame([("a", at(3), 0), ("a", at(4), 1), ("b", at(9), 1), ("c", at(2), 1)], "id string, click_ts timestamp, button int")
+    closes = spark.createDataFrame([("c", at(1))], "id string, close_ts timestamp")
+    live = scoring.first_click(scoring.unless_closed(scoring.clicks_on_live(shown, clicks), closes))
+    assert [(r.url, r.reported_label) for r in scoring.feedback(live).collect()] == [("u", 0)]
+    ok, bad = scoring.valid_reports(spark.createDataFrame([(0,), (1,), (2,), (None,)], "reported_label int"))
+    assert (ok.count(), bad.count()) == (2, 2)
