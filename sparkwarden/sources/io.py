@@ -20,7 +20,8 @@ def labelled_urls(spark: SparkSession, path: str, encoding: str = "ISO-8859-1")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_bad"]])
     raw = spark.read.option("columnPruning", False).csv(path, header=True, schema=schema, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", escape='"')
     fields = F.size(F.split(F.regexp_replace("_bad", r'"(?:[^"]|"")*"', ""), ",", -1))
-    long = F.coalesce(fields > len(header), F.lit(False))
+    # The second part is always true; Spark refuses plans that read nothing but the corrupt-record column.
+    long = F.coalesce(fields > len(header), F.lit(False)) & (F.coalesce(F.length("label"), F.lit(0)) >= 0)
     value = lambda c: F.when(~F.col(c).isin(*NULLS), F.col(c))
     rows = raw.where(~long).select(value("domain").alias("domain"), value("label").alias("label")).dropna()
     return rows.withColumn("label", F.col("label").cast("double").cast("int")), raw.where(long).select("_bad")
