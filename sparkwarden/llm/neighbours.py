@@ -91,8 +91,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, tile: int =
     q, c = (x.select(*pick).where(F.col("vec_id").isNotNull() & usable(F.col("v"))) for x in (queries, candidates))
     q = cut(q.groupBy("vec_id").agg(F.min("v").alias("v")))
     n_q, n_c = q.count(), c.count()
-    q_tiles = max(1, math.ceil(n_q / tile))
-    c_tiles = max(1, math.ceil(n_c / tile), min(least_tiles, n_c // 1024))
+    c_tiles = max(1, math.ceil(n_c / tile))
+    q_tiles = max(1, math.ceil(n_q / tile), min(math.ceil(least_tiles / c_tiles), n_q // 256))
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = q.select("vec_id", "v", F.size("v").alias("dim"), own(q_tiles).alias("qt"), every(c_tiles).alias("ct"))
