@@ -119,6 +119,17 @@ def encode_chunk(text: str, path: str = VOCABULARY) -> tuple[list[int], list[int
     return own, ids, before
 
 
+def pack(values: list[int]) -> bytes:
+    """Values of 0 or more in the least width that holds them all, led by that width in bytes."""
+    a = np.asarray(values, np.int64)
+    width = np.min_scalar_type(int(a.max(initial=0)))
+    return bytes([width.itemsize]) + a.astype(width).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"u{packed[0]}", offset=1).astype(np.int64)
+
+
 def token_digests(docs: DataFrame, path: str = VOCABULARY, chunk: int = 16_384, overlap: int = 512, ids: bool = False) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>).
 
@@ -144,11 +155,11 @@ def token_digests(docs: DataFrame, path: str = VOCABULARY, chunk: int = 16_384,
         for x in batches:
             for row in x.itertuples(index=False):
                 own, got, before = encode_chunk(row.part, path)
-                yield pd.DataFrame([(row.row, row.doc_id, row.start, row.part, *(np.asarray(v, np.int32).tobytes() for v in (own, got, before)))], columns=["row", "doc_id", "start", "part", "own", "got", "before"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame([(row.row, row.doc_id, row.start, row.part, pack(np.diff(own, prepend=0)), pack(got), pack(np.diff(before, prepend=0)))], columns=["row", "doc_id", "start", "part", "own", "got", "before"]).astype({"doc_id": "Int64"})
 
     def together(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("start")
-        encoded = [tuple(np.frombuffer(v, np.int32).tolist() for v in row) for row in zip(x["own"], x["got"], x["before"])]
+        encoded = [(unpack(own).cumsum().tolist(), unpack(got).tolist(), unpack(before).cumsum().tolist()) for own, got, before in zip(x["own"], x["got"], x["before"])]
         doc_id = x["doc_id"].iloc[0]
         return finish([None if pd.isna(doc_id) else int(doc_id)], [encode_chunks(x["part"].tolist(), x["start"].tolist(), encoded, path)])
 
