@@ -43,24 +43,40 @@ def hash_sample(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < int(1_000_000 * rows / total))
 
 
+def join_hot(rows: DataFrame, named: DataFrame, key: str, how: str = "inner", share: int = 64) -> DataFrame:
+    """rows joined with named (at most one row a key) so that no key's rows meet in one task.
+
+    Keys that hold over 1/share of all rows, fewer than `share` by count, find their row of named by broadcast;
+    all others by shuffle. rows is read twice, so it should be cut. A null key finds nothing.
+    """
+    least = rows.count() // share
+    hot = [r[0] for r in rows.groupBy(key).count().where((F.col("count") > least) & F.col(key).isNotNull()).collect()] if least else []
+    if not hot:
+        return rows.join(named, key, how)
+    held = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    apart = rows.where(held).join(F.broadcast(named.where(held)), key, how)
+    return rows.where(~held).join(named.where(~held), key, how).unionByName(apart)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a long, b long): one row (node, root) per node in an edge; root is the smallest node.
 
     Each round gives every node its smallest neighbour as parent, jumps once to the parent's
     parent, and keeps the edges between different parents; the graph shrinks until no edge is left.
-    All steps are joins and pre-aggregated minima; nothing is collected but one emptiness flag a round.
+    All steps are joins and pre-aggregated minima; nothing is collected but one emptiness flag a round
+    and the few keys that join_hot treats apart.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    found = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))
+    found = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
         parent = cut(parent)
         up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        jump = cut(parent.join(up, "p").select("v", F.col("pp").alias("to")))
-        found = cut(found.join(jump.withColumnRenamed("v", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        jump = cut(join_hot(parent, up, "p").select("v", F.col("pp").alias("to")))
+        found = cut(join_hot(found, jump.withColumnRenamed("v", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         a, b = (jump.select(F.col("v").alias(k), F.col("to").alias(f"{k}_to")) for k in "ab")
-        moved = edges.join(a, "a").join(b, "b").where("a_to <> b_to")
+        moved = join_hot(cut(join_hot(edges, a, "a")), b, "b").where("a_to <> b_to")
         edges = cut(moved.select(F.greatest("a_to", "b_to").alias("a"), F.least("a_to", "b_to").alias("b")).distinct())
     return found
 

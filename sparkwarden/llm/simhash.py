@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import components, cut
+from sparkwarden.llm.common import components, cut, join_hot
 
 BITS = 64
 STEP = 1 << 15
@@ -172,12 +172,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
     """
     prints = cut(fingerprints(docs, width, seed))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(nodes.select("fp"), radius))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = placed.where("fp <> root").groupBy("root").agg(F.min("rep").alias("low"))
-    named = nodes.select(F.col("fp").alias("root"), F.col("rep").alias("own"))
-    inside = placed.join(least, "root", "left").join(named, "root").select("fp", F.least("low", "own").alias("component_id"))
-    return prints.join(inside, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    placed = cut(nodes.join(roots, "fp"))
+    least = placed.groupBy("root").agg(F.min("rep").alias("low"))
+    inside = join_hot(placed.select("fp", "root"), least, "root").select("fp", "low")
+    named = cut(nodes.join(inside, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id")))
+    return join_hot(prints, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:

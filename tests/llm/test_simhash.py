@@ -3,8 +3,10 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkwarden.llm import simhash
+from sparkwarden.llm.common import join_hot
 from tests.llm.data import docs, odd
 
 
@@ -81,3 +83,14 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
     kept = simhash.keep_one(odd(spark))
     assert kept.columns[0] == "doc_id" and [r.doc_id for r in kept.collect()].count(1) == 1
+
+
+def test_hot_keys_join_apart(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, 8).when(F.col("id") % 50 != 2, F.col("id")).alias("k"), "id")
+    named = spark.range(0, 3000, 7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("name"))
+    for how in ("inner", "left"):
+        got, plain = join_hot(rows, named, "k", how), rows.join(named, "k", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+        assert "Union" in got._jdf.queryExecution().analyzed().toString()
+    assert join_hot(rows.where("k > 8"), named, "k").count() == rows.where("k > 8").join(named, "k").count()
+    assert join_hot(rows.limit(0), named, "k").count() == 0
