@@ -5,14 +5,15 @@ A text's score adds the log-probability of each byte: from the longest context i
 escape (method C: distinct successors over all their counts plus distinct) and the next shorter context, in which the bytes
 already ruled out are excluded; below order 0 all bytes left are equally likely.
 
-The counts cover all training texts. The trie that tasks share has a proven bound: orders 0 to 2 cannot have more than 2 ** 24
-pairs, and of longer contexts the pairs with the highest counts stay, as many as `most_pairs` allows (a count cutoff; 1 keeps
-all). The vocabulary of the base score has no bound and is never whole in one place: documents are dealt into groups,
-each asks for the words it holds, and a join brings their counts.
+The counts cover all training texts, and every pair of every order counts. Neither the trie nor the vocabulary is ever whole in one
+place: documents are dealt into groups, each asks for the keys and words it holds, and buckets answer. A bucket of the trie has all
+pairs whose contexts end in the same three bytes, so orders 3 to 5 derive from its own longest pairs; orders 0 to 2, which cannot
+have more than 2 ** 24 pairs, are shared. A question is a packed list; buckets answer one question after the other.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ ORDER = 5
 END = b""  # the end of a text, as a token; no word is empty
 SLICE = 1 << 20
 PLACE = 15  # bits that number a text within a slice; with a key's 48 they fit a long
+LOW = 2  # the longest order that all tasks share
 
 
 def raw(text: str | None) -> bytes:
@@ -122,7 +124,10 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def levels(pairs: DataFrame, most_pairs: int) -> DataFrame:
-    """(level, key, n): the pairs of every order, derived from the longest ones, cut off at the least count that leaves at most most_pairs of the long ones."""
+    """(level, key, n): the pairs of every order, derived from the longest ones, cut off at the least count that leaves at most most_pairs of the long ones.
+
+    For a look at a bounded part of a trie; scores come from the whole one and do not use it.
+    """
     every, level = [], pairs
     for order in range(ORDER, -1, -1):
         every.append(level.select(F.lit(order).alias("level"), "key", "n"))
@@ -158,10 +163,16 @@ class Trie:
         self.rare: dict[int, float] = {}
 
     @classmethod
-    def of(cls, pairs: DataFrame) -> Trie:
-        got = pairs.toArrow()
-        level, key, n = (got[c].to_numpy() for c in ("level", "key", "n"))
-        return cls([key[level == k] for k in range(ORDER + 1)], [n[level == k] for k in range(ORDER + 1)])
+    def bucket(cls, low: list[tuple[np.ndarray, np.ndarray]], key: np.ndarray, n: np.ndarray) -> Trie:
+        """A bucket's part: its longest pairs, the orders that follow from them, and the shared low ones."""
+        long = {ORDER: (key, n)}
+        for order in range(ORDER - 1, LOW, -1):
+            long[order] = tally(long[order + 1][0] & ((1 << 8 * (order + 1)) - 1), long[order + 1][1])
+        none = np.empty(0, np.int64)
+        out = cls(*([long.get(k, (none, none))[j] for k in range(ORDER + 1)] for j in (0, 1)))
+        for k, (keys, counts) in enumerate(low):
+            out.keys[k], out.counts[k] = keys, counts
+        return out
 
     def log(self, key: int) -> float:
         """log10 of the probability of the key's byte after its context, with escapes and exclusion."""
@@ -181,64 +192,185 @@ class Trie:
             gone[symbols] = True
         return out - float(np.log10(256 - gone.sum()))
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each whole text, its end included."""
-        out = np.zeros(len(texts))
-        for first, keys, sizes in slices(texts):
-            # sorted by key, so that look-ups walk through the trie in its order; the text's number rides in the low bits
-            marked = np.sort(keys << PLACE | np.repeat(np.arange(len(sizes)), sizes))
-            keys, place = marked >> PLACE, marked & ((1 << PLACE) - 1)
-            begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            each = keys[begin]
-            at = np.minimum(np.searchsorted(self.top, each), len(self.top) - 1)
-            logs = self.logs[at]
-            for k in np.flatnonzero(self.top[at] != each).tolist():
-                key = int(each[k])
-                got = self.rare.get(key)
-                if got is None:
-                    if len(self.rare) > 1_000_000:
-                        self.rare.clear()
-                    got = self.rare[key] = self.log(key)
-                logs[k] = got
-            spread = np.repeat(logs, np.diff(np.append(begin, len(keys))))
-            out[first : first + len(sizes)] += np.bincount(place, spread, len(sizes))
-        return out
+    def logs_of(self, keys: np.ndarray) -> np.ndarray:
+        """log of each key."""
+        at = np.minimum(np.searchsorted(self.top, keys), len(self.top) - 1)
+        logs = self.logs[at]
+        for k in np.flatnonzero(self.top[at] != keys).tolist():
+            key = int(keys[k])
+            got = self.rare.get(key)
+            if got is None:
+                if len(self.rare) > 1_000_000:
+                    self.rare.clear()
+                got = self.rare[key] = self.log(key)
+            logs[k] = got
+        return logs
+
+
+def low_orders(pairs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of orders 0 to LOW, sorted."""
+    got = pairs.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    out = [tally(got["key"].to_numpy(), got["n"].to_numpy())]
+    for order in range(LOW - 1, -1, -1):
+        out.insert(0, tally(out[0][0] & ((1 << 8 * (order + 1)) - 1), out[0][1]))
+    return out
+
+
+def spread(ending):
+    """A number for a context's last three bytes, over columns and arrays alike."""
+    return ending * 0x9E3779B1
+
+
+def key_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (spread(keys >> 8 & 0xFFFFFF) >> 12) % buckets
+
+
+def word_bucket(word: bytes, buckets: int) -> int:
+    return buckets + zlib.crc32(word) % buckets
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed steps, the bytes of one place beside each other."""
+    steps = np.diff(keys, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8)
+    return zlib.compress(np.ascontiguousarray(steps[:, : ORDER + 1].T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(ORDER + 1, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, : ORDER + 1] = planes.T
+    return np.cumsum(steps.view("<i8").ravel())
+
+
+def distinct_keys(texts: list[bytes]) -> np.ndarray:
+    found, held, size = np.empty(0, np.int64), [], 0
+    for _, keys, _ in slices(texts):
+        held.append(tally(keys)[0])
+        size += len(held[-1])
+        if size > 2_000_000:
+            found, held, size = tally(np.concatenate([found, *held]))[0], [], 0
+    return tally(np.concatenate([found, *held]))[0]
+
+
+def questions(texts: list[bytes], buckets: int, most: int = 4_096) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed keys or words): all that the texts hold, in lists of at most `most`."""
+    keys = distinct_keys(texts)
+    b = key_bucket(keys, buckets)
+    order = np.argsort(b, kind="stable")
+    keys, b = keys[order], b[order]
+    ends = np.append(np.flatnonzero(b[1:] != b[:-1]) + 1, len(b))
+    for s, e in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()):
+        for k in range(s, e, most):
+            yield int(b[s]), packed(keys[k : min(k + most, e)])
+    words: dict[int, list[bytes]] = {}
+    for w in sorted({END}.union(*(t.split() for t in texts))):
+        words.setdefault(word_bucket(w, buckets), []).append(w)
+    for bucket, held in words.items():
+        for k in range(0, len(held), most):
+            yield bucket, zlib.compress(b" ".join(held[k : k + most]), 1)
+
+
+def answered(pairs: DataFrame, tokens: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
+    """(g, b, ask, reply) of each question asked(g, b, ask): the logs of its keys, or the counts of its words.
+
+    A task sorts its buckets, reads each bucket's facts and then answers its questions as they come.
+    """
+    sent = pairs.sparkSession.sparkContext.broadcast(low_orders(pairs))
+    none, zero = F.lit(b""), F.lit(0).cast("long")
+    ending = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))
+    by_key = pairs.select((F.shiftright(spread(ending), 12) % buckets).cast("int").alias("b"), F.lit(-1).alias("g"), "key", "n", none.alias("ask"))
+    by_word = tokens.select((F.crc32("token") % buckets + buckets).cast("int").alias("b"), F.lit(-1).alias("g"), zero.alias("key"), "n", F.col("token").alias("ask"))
+    every = by_key.unionByName(by_word).unionByName(asked.select("b", "g", zero.alias("key"), zero.alias("n"), "ask"))
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, facts, book = -1, [], None
+        out, size = [], 0
+        for x in batches:
+            for b, part in x.groupby("b"):
+                if b != now:
+                    now, facts, book = b, [], None
+                told = (part["g"] < 0).to_numpy()
+                if told.any():
+                    facts.append(part[told])
+                if told.all():
+                    continue
+                if book is None:
+                    key, n = (np.concatenate([f[c].to_numpy() for f in facts]) if facts else np.empty(0, np.int64) for c in ("key", "n"))
+                    book = Trie.bucket(sent.value, key, n) if b < buckets else dict(zip((bytes(w) for f in facts for w in f["ask"]), n.tolist()))
+                    facts = []
+                for g, ask in zip(part["g"][~told].tolist(), part["ask"][~told]):
+                    if b < buckets:
+                        reply = book.logs_of(unpacked(ask)).tobytes()
+                    else:
+                        reply = zlib.compress(np.array([book.get(w, 0) for w in zlib.decompress(ask).split(b" ")], np.int64).tobytes(), 1)
+                    out.append((g, b, ask, reply))
+                    size += len(ask) + len(reply)
+                    if size > 1 << 23:
+                        yield pd.DataFrame(out, columns=["g", "b", "ask", "reply"])
+                        out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=["g", "b", "ask", "reply"])
+
+    return every.repartition(max(1, buckets // 4), "b").sortWithinPartitions("b", "g").mapInPandas(answer, "g int, b int, ask binary, reply binary")
+
+
+def scores(texts: list[bytes], known: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """log10 probability of each whole text, its end included, from the logs of its (sorted) keys."""
+    out = np.zeros(len(texts))
+    for first, keys, sizes in slices(texts):
+        # sorted by key, so that look-ups walk through the table in its order; the text's number rides in the low bits
+        marked = np.sort(keys << PLACE | np.repeat(np.arange(len(sizes)), sizes))
+        keys, place = marked >> PLACE, marked & ((1 << PLACE) - 1)
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        logs = log[np.searchsorted(known, keys[begin])]
+        each = np.repeat(logs, np.diff(np.append(begin, len(keys))))
+        out[first : first + len(sizes)] += np.bincount(place, each, len(sizes))
+    return out
 
 
 def held_out(doc_id: Column, folds: int = 10, out: int = 0) -> Column:
     return F.coalesce(fold(doc_id, folds) == out, F.lit(False))
 
 
-def score(docs: DataFrame, learn: Column, group: int = 3_000, most_pairs: int = 6_000_000) -> DataFrame:
+def score(docs: DataFrame, learn: Column, group: int = 3_000, bucket: int = 20_000) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the rows where `learn` holds. Null texts count as empty; an empty text is its end alone. Rows are
-    handled one by one. `group` is about how many documents share a request for words; it doesn't change results.
+    handled one by one. `group` is about how many documents share their questions, `bucket` about how many pairs or words share
+    an answering bucket; neither changes results.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pairs, tokens = counted(own.where(learn))
-    model = docs.sparkSession.sparkContext.broadcast(Trie.of(levels(cut(pairs), most_pairs)))
-    tokens = cut(tokens)
+    pairs, tokens = (cut(x) for x in counted(own.where(learn)))
     total, distinct = tokens.agg(F.sum("n"), F.count("*")).first()
     total, floor = int(total or 0), 0.1
     whole = total + floor * (distinct + 1)
+    buckets = max(1, -(-max(pairs.count(), distinct) // bucket))
     groups = max(1, -(-docs.count() // group))
     dealt = own.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def wanted(x: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": x["g"].iloc[0], "token": sorted({END}.union(*(raw(t).split() for t in x["text"])))})
+        out = pd.DataFrame(list(questions([raw(t) for t in x["text"]], buckets)), columns=["b", "ask"])
+        return out.assign(g=x["g"].iloc[0])[["g", "b", "ask"]]
 
-    known = dealt.groupBy("g").applyInPandas(wanted, "g int, token binary").join(tokens, "token").select("g", "token", "n")
+    replies = answered(pairs, tokens, dealt.groupBy("g").applyInPandas(wanted, "g int, b int, ask binary"), buckets)
 
-    def judge(x: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    def judge(x: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if x.empty:
             return pd.DataFrame({c: [] for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-        count = dict(zip(words["token"], words["n"].tolist())).get
+        keys, logs, counts = [], [], {}
+        for b, ask, reply in zip(told["b"].tolist(), told["ask"], told["reply"]):
+            if b < buckets:
+                keys.append(unpacked(ask))
+                logs.append(np.frombuffer(reply))
+            else:
+                counts.update(zip(zlib.decompress(ask).split(b" "), np.frombuffer(zlib.decompress(reply), np.int64).tolist()))
+        keys, logs = np.concatenate(keys), np.concatenate(logs)
+        order = np.argsort(keys)
         texts, rows = [raw(t) for t in x["text"]], []
         for t in texts:
-            c = np.array([count(w, 0) for w in t.split()] + [count(END, 0)], float)
+            c = np.array([counts[w] for w in t.split()] + [counts[END]], float)
             rows.append((len(c), int((c > 0).sum()), total, float(np.log10((c + floor) / whole).sum())))
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score"])
-        return out.assign(doc_id=x["doc_id"].astype("Int64").to_numpy(), score=model.value.scores(texts))[["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]]
+        return out.assign(doc_id=x["doc_id"].astype("Int64").to_numpy(), score=scores(texts, keys[order], logs[order]))[["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]]
 
-    return dealt.groupBy("g").cogroup(known.groupBy("g")).applyInPandas(judge, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("g").cogroup(replies.groupBy("g")).applyInPandas(judge, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

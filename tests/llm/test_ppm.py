@@ -98,3 +98,22 @@ def test_cutoff_bounds_the_trie(spark, sf_dir):
     got = ppm.levels(pairs, 5_000)
     assert 0 < got.where("level > 2").count() <= 5_000
     assert ppm.levels(pairs, 10**9).where("level = 5").count() == pairs.count()
+
+
+@pytest.mark.parametrize("bucket", [500, 10**6])
+def test_whole_trie_whatever_its_size(spark, monkeypatch, bucket):
+    """No pair is cut off, in however many buckets the trie lies."""
+    monkeypatch.setattr(ppm, "levels", None)
+    rows = [(i, " ".join(f"{(i * 7919 + k * k * 31) % 99991:x}" for k in range(80))) for i in range(60)]
+    got = ppm.score(docs(spark, [(i, t, "a") for i, t in rows]), learn(), group=7, bucket=bucket).collect()
+    compare(got, brute(rows))
+
+
+def test_packing_keeps_keys():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 48, 5_000))
+    assert (ppm.unpacked(ppm.packed(keys)) == keys).all()
+    texts = [b"abc abd", b"", b"xyz " * 50]
+    asked = list(ppm.questions(texts, 3, most=2))
+    found = np.concatenate([ppm.unpacked(a) for b, a in asked if b < 3])
+    assert sorted(found.tolist()) == sorted({k for t in texts for k in _plain(t)})
+    assert {w for b, a in asked if b >= 3 for w in zlib.decompress(a).split(b" ")} == {b"", b"abc", b"abd", b"xyz"}
