@@ -355,7 +355,7 @@ def stream_scores(spark, sf_dir):
 
 @registered()
 def stream_feedback(spark, sf_dir):
-    """Feedback of the first click that arrives for each user's notifications, as a stream."""
+    """Feedback of the first click that arrives for each notification, as a stream."""
     from sparkwarden.streaming import jobs
 
     folder = shared(spark)
@@ -364,4 +364,4 @@ def stream_feedback(spark, sf_dir):
         df.write.parquet(f"{folder}/{name}")
     shown, clicks = (jobs.read_parquet_stream(spark, f"{folder}/{n}", "*.parquet") for n in ("shown", "clicks"))
     jobs.feedback_stream(shown, clicks, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("id", "url", "reported_label", "timestamp")
+    return spark.read.parquet(f"{folder}/out").select("shown_id", "id", "url", "reported_label", "timestamp")

@@ -26,10 +26,14 @@ def score_stream(visits: DataFrame, model: Callable[[DataFrame], DataFrame], out
 
 
 def feedback_stream(shown: DataFrame, clicks: DataFrame, out: str, checkpoint: str, late: str = "1 minute", once: bool = False) -> StreamingQuery:
-    """Join notifications (id, shown_ts, url) with the first click (id, click_ts, button) to arrive within five minutes; append feedback."""
-    first = clicks.withWatermark("click_ts", late).dropDuplicatesWithinWatermark(["id"])
-    matched = scoring.clicks_on_live(shown.withWatermark("shown_ts", late), first)
-    records = matched.select("id", "url", scoring.button_label(F.col("button")).alias("reported_label"), F.col("click_ts").alias("timestamp"))
+    """Join notifications (shown_id, id, shown_ts, url) with clicks (id, click_ts, button) within five minutes; append the feedback of each one's first match to arrive.
+
+    A notification's watermark lags by its life, so that it is remembered until no click on it can come.
+    """
+    live = scoring.clicks_on_live(shown.withWatermark("shown_ts", f"{scoring.ALIVE} {late}"), clicks.withWatermark("click_ts", late))
+    # the time of the deduplication is that of the notification; click_ts goes on as a plain column
+    matched = live.select("shown_id", "id", "url", "button", "shown_ts", F.struct("click_ts").alias("_at")).dropDuplicatesWithinWatermark(["shown_id"])
+    records = matched.select("shown_id", "id", "url", scoring.button_label(F.col("button")).alias("reported_label"), F.col("_at.click_ts").alias("timestamp"))
     writer = records.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
