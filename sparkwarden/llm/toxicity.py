@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-Lexicon voters (words, and word beginnings of several lengths, that speak for toxicity in a bounded labelled sample) and pattern
+Lexicon voters (words, and word beginnings of several lengths, that speak for toxicity among all labelled rows) and pattern
 voters mark every document of the corpus. A generative model estimates, by expectation-maximisation over the counts of vote
 patterns, how often each voter fires on either class; voters that depend on each other given the class, by their
 residual correlation, share a joint table. A linear classifier over all words and word beginnings is trained on the
@@ -101,7 +101,12 @@ def telling(rows: Rows, target: np.ndarray, least: float = 3.0, lift: float = 3.
         part = rows.take(np.arange(k, min(k + 1024, len(rows))))
         pos += part.gradient(target[k : k + 1024], DIMS)
         all_rows += np.bincount(part.values, minlength=DIMS)
-    base = float(np.clip(target.mean(), 1e-6, 1 - 1e-6))
+    return marked(pos, all_rows, least, lift, likelihood)
+
+
+def marked(pos: np.ndarray, all_rows: np.ndarray, least: float = 3.0, lift: float = 3.0, likelihood: float = 10.8) -> np.ndarray:
+    """telling from each feature's toxic and total rows; the constant's are those of all rows."""
+    base = float(np.clip(pos[-1] / max(1.0, all_rows[-1]), 1e-6, 1 - 1e-6))
     share = np.clip(pos / np.maximum(all_rows, 1), 1e-9, 1 - 1e-9)
     g = 2 * (pos * np.log(share / base) + (all_rows - pos) * np.log((1 - share) / (1 - base)))
     mask = (pos >= least) & (share >= lift * base) & (g > likelihood)
@@ -109,6 +114,28 @@ def telling(rows: Rows, target: np.ndarray, least: float = 3.0, lift: float = 3.
     return mask
 
 
+def sign_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic and total rows of each feature over all of rows(text, _toxic); exact copies count once."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pos, every = np.zeros(DIMS, np.int64), np.zeros(DIMS, np.int64)
+        for x in batches:
+            for t, toxic in zip(x["text"], x["_toxic"].tolist()):
+                f = features(t)
+                every[f] += 1
+                if toxic == 1:
+                    pos[f] += 1
+        at = np.flatnonzero(every)
+        yield pd.DataFrame({"f": at.astype(np.int32), "pos": pos[at], "n": every[at]})
+
+    counts = rows.select("text", "_toxic").distinct().mapInPandas(count, "f int, pos long, n long")
+    got = counts.groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).toArrow()
+    pos, every = np.zeros(DIMS), np.zeros(DIMS)
+    at = got["f"].to_numpy()
+    pos[at], every[at] = got["pos"].to_numpy(), got["n"].to_numpy()
+    return pos, every
+
+
 @dataclass
 class Voters:
     """A bit for each lexicon, one for two or more hits in all, one for each pattern."""
@@ -212,24 +239,26 @@ def label_model(counts: dict[int, int], known: dict[int, tuple[int, int]], voter
     return run(sorted(groups))[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = 9_000, fitted: int = 9_000) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = 12_000, fitted: int = 12_000) -> np.ndarray:
     """Classifier weights, learnt from labels(doc_id, toxic) and docs(doc_id, text) of the rows where `learn` holds.
 
-    labelled bounds the labelled rows that lexicons come from, fitted the other rows that the classifier is fitted
-    on (about so many each, by a hash of the id); the label model counts the votes of all learnable documents.
+    Lexicons come from all labelled rows. labelled bounds the labelled rows that hold the label model to their class and that the
+    classifier is fitted on, fitted its other rows (about so many each, by a hash of the id); the label model counts the
+    votes of all learnable documents.
     A doc_id with several labels counts as toxic if one says so. Without any toxic label every text scores near 0.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic")).where(learn)
     chosen = hash_sample(known, F.col("doc_id"), labelled, known.count())
     pool = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(learn & F.col("doc_id").isNotNull())
-    got = list(dict.fromkeys(sample_rows(pool.join(F.broadcast(chosen), "doc_id"), "_toxic")))  # exact copies count once
-    rows = [np.frombuffer(f, np.int32) for f, _ in got]
-    toxic = np.array([float(t == 1) for _, t in got])
-    if not toxic.any():
+    pos, every = sign_counts(pool.join(known.hint("merge"), "doc_id"))  # labels have no bound: a shuffle at every size
+    if not pos[-1]:
         w = np.zeros(DIMS)
         w[-1] = -5.0
         return w
-    signs = telling(Rows.of(rows), toxic, lift=5.0)
+    signs = marked(pos, every, lift=5.0)
+    got = list(dict.fromkeys(sample_rows(pool.join(F.broadcast(chosen), "doc_id"), "_toxic")))  # exact copies count once
+    rows = [np.frombuffer(f, np.int32) for f, _ in got]
+    toxic = np.array([float(t == 1) for _, t in got])
     voters = Voters([np.flatnonzero(signs[RANGE * k : RANGE * (k + 1)]) + RANGE * k for k in range(1 + len(BEGINNINGS))])
     counts = count_votes(pool, voters)
     sent = docs.sparkSession.sparkContext.broadcast(voters)

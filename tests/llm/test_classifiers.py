@@ -64,3 +64,24 @@ def test_prior_and_clamped_risk():
     assert abs(quality.class_prior(pos, mixed) - 0.6) < 0.08
     slope = quality.nn_slope(np.array([1, 0]), 0.9)
     assert slope(np.array([0, 1]), np.array([6.0, -6.0]))[0] > 0  # negatives' risk below zero: its gradient is undone
+
+
+def test_lexicons_come_from_all_labelled_rows(spark, monkeypatch):
+    """A toxic word in few of many rows is learnt although the sample for the fit is small."""
+    rows = [(i, f"plain text number{i} with usual words" + (" zyxrare" if i % 100 == 0 else " awful" if i % 10 == 0 else "")) for i in range(1000)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    table = docs(spark, [(i, t, "a") for i, t in rows] + [(0, rows[0][1], "b")])
+    pos, every = toxicity.sign_counts(table.join(labels.withColumnRenamed("toxic", "_toxic"), "doc_id"))
+    number = toxicity._of_token("zyxrare")[0]
+    assert (pos[number], every[number], pos[-1], every[-1]) == (10, 10, 100, 1000)
+
+    class Seen(Exception):
+        pass
+
+    def stop(_, voters):
+        raise Seen(voters)
+
+    monkeypatch.setattr(toxicity, "count_votes", stop)
+    with pytest.raises(Seen) as e:
+        toxicity.train(table, labels, F.lit(True), labelled=50)
+    assert number in e.value.args[0].lexicons[0]
