@@ -324,7 +324,7 @@ def train_ensemble(spark, sf_dir):
     data = _training(spark, sf_dir).persist()
     state = matrix.fitted_scaler(data.where("split = 'train'"))
     ready = matrix.scaled(data, state, keep=("page_id", "label", "split"))
-    ensemble = models.fit(ready.where("split = 'train'"), trees=20, rounds=10, depth=10)
+    ensemble = models.fit(ready.where("split = 'train'"))
     out = ensemble.predict(ready.where("split = 'test'"))
     return models.confusion(out.select(F.col("label").alias("y"), F.col("prediction").alias("pred")))
 
@@ -335,7 +335,7 @@ def predict_ensemble(spark, sf_dir):
     data = _training(spark, sf_dir)
     state = matrix.fitted_scaler(data)
     folder = shared(spark)
-    models.save(models.fit(matrix.scaled(data, state, keep=("label",)), trees=10, rounds=5, depth=8), state, folder)
+    models.save(models.fit(matrix.scaled(data, state, keep=("label",))), state, folder)
     ensemble, state, names = models.load(spark, folder)
     m = matrix.aligned(some(spark, sf_dir, *MATRIX), keep=("page_id",), names=names)
     return ensemble.predict(matrix.scaled(m, state, keep=("page_id",))).select("page_id", "prediction", "probability")
