@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import SPACE, cut, hash_sample
+from sparkwarden.llm.common import SPACE, cut
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -69,16 +69,15 @@ def gram_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
     return F.transform(both, lambda x: F.pmod(x, modulus).cast("int"))
 
 
-def ratios(docs: DataFrame, labels: DataFrame, trusted: int = 20_000, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
+def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
     """One row with _llr, the log-ratio of each bucket's chance among trusted texts to that in the whole corpus.
 
-    Trusted are documents with labels.quality = 1, about `trusted` of them at most (by a hash of the id), so that
-    their ids can be broadcast; the corpus counts cover every document. Without trusted texts all ratios fall to their smoothing.
+    Trusted are all documents with labels.quality = 1; the corpus counts cover every document. Without trusted texts all ratios fall to their smoothing.
     """
     known = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    chosen = hash_sample(known, F.col("_id"), trusted, known.count()).withColumn("_trusted", F.lit(1))
+    known = known.withColumn("_trusted", F.lit(1)).hint("merge")  # labels have no bound: a shuffle at every size
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    grams = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("_text")).join(F.broadcast(chosen), "_id", "left")
+    grams = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("_text")).join(known, "_id", "left")
     grams = grams.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(gram_buckets(word_hashes(words_of(F.col("_text"))), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("all"), F.sum("t").alias("trusted"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")

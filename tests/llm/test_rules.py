@@ -81,3 +81,12 @@ def test_odd_rows_and_empty(spark):
     assert len(got) == 10 and not any(r.kept for r in got if not r.n_words)
     assert rules.judge(docs(spark, []), labels).collect() == []
     assert len(rules.judge(odd(spark), labels.where("false")).collect()) == 10
+
+
+def test_every_trusted_text_counts(spark):
+    """More trusted ids than any sample held (20,000) all count: each one's word is as likely as the next."""
+    n = 21_000
+    table = spark.range(n).selectExpr("id AS doc_id", "'good' AS text", "'en' AS lang", "'a' AS source", "4L AS n_chars")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    got = rules.ratios(table, labels).first()[0]
+    assert got == pytest.approx([0.0] * rules.BUCKETS, abs=1e-12)
