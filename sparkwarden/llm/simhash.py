@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: exact pairs of close fingerprints through vantage-point shards.
+"""SimHash near-duplicates: exact pairs of close fingerprints through shards by blocks of bits.
 
 Routing. In the full 64-bit Hamming metric the shells around a vantage point hold the bulk of
 all fingerprints within a few bits of any boundary, so a cut there prunes nothing. Shards are
@@ -7,8 +7,8 @@ agree wholly on some choice of blocks, so in that block metric they lie at dista
 the same vantage point (the block's value). Every fingerprint goes to its shard of every choice
 of blocks: these are the overlapping shards that a boundary would need. No pair is lost.
 
-Inside a shard a vantage-point tree with one shell for each distance gives the pairs: the triangle
-inequality leaves only shells that differ by <= radius. Dense groups (near copies by the
+Inside a shard there is no tree: points are sorted by their distance to one pivot, and the triangle
+inequality leaves only those whose distances differ by <= radius; the blocks do nearly all the pruning. Dense groups (near copies by the
 thousand) are flooded: a point that has been reached is never compared again, and only a star of links to
 the shard's smallest member leaves the task. A shard over `chunk` points is cut in chunks and
 each pair of chunks meets in a task of its own.
