@@ -7,8 +7,10 @@ already ruled out are excluded; below order 0 all bytes left are equally likely.
 
 The counts cover all training texts, and every pair of every order counts. Neither the trie nor the vocabulary is ever whole in one
 place: documents are dealt into groups, each asks for the keys and words it holds, and buckets answer. A bucket of the trie has all
-pairs whose contexts end in the same three bytes, so orders 3 to 5 derive from its own longest pairs; orders 0 to 2, which cannot
-have more than 2 ** 24 pairs, are shared. A question is a packed list; buckets answer one question after the other.
+pairs of some contexts' last two bytes; an ending with too many pairs is split by the byte before it, and each part gets the ending's order-2
+pairs besides its own. So orders 3 to 5 derive from a bucket's own longest pairs. What all tasks share cannot grow with the corpus:
+orders 0 and 1, at most 2 ** 16 + 2 ** 8 pairs, and the directory of the 2 ** 16 endings. A question is a packed list; buckets answer one
+question after the other.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,9 @@ ORDER = 5
 END = b""  # the end of a text, as a token; no word is empty
 SLICE = 1 << 20
 PLACE = 15  # bits that number a text within a slice; with a key's 48 they fit a long
-LOW = 2  # the longest order that all tasks share
+LOW = 1  # the longest order that all tasks share
+ENDINGS = 1 << 16
+PAIR, TWO, WORD = -3, -2, -1  # in place of a group: kinds of facts
 
 
 def raw(text: str | None) -> bytes:
@@ -123,30 +128,6 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by_key, by_token
 
 
-def levels(pairs: DataFrame, most_pairs: int) -> DataFrame:
-    """(level, key, n): the pairs of every order, derived from the longest ones, cut off at the least count that leaves at most most_pairs of the long ones.
-
-    For a look at a bounded part of a trie; scores come from the whole one and do not use it.
-    """
-    every, level = [], pairs
-    for order in range(ORDER, -1, -1):
-        every.append(level.select(F.lit(order).alias("level"), "key", "n"))
-        if order:
-            level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-    whole = every[0]
-    for x in every[1:]:
-        whole = whole.unionByName(x)
-    whole = cut(whole)
-    by_count = sorted(((r.c, r.pairs) for r in whole.where("level > 2").groupBy(F.least("n", F.lit(1 << 16)).alias("c")).agg(F.count("*").alias("pairs")).collect()), reverse=True)
-    held, cutoff = 0, 1
-    for c, n in by_count:
-        held += n
-        if held > most_pairs:
-            cutoff = c + 1
-            break
-    return whole.where((F.col("level") <= 2) | (F.col("n") >= cutoff))
-
-
 class Trie:
     """Sorted (context, byte) keys and counts of each order."""
 
@@ -163,10 +144,10 @@ class Trie:
         self.rare: dict[int, float] = {}
 
     @classmethod
-    def bucket(cls, low: list[tuple[np.ndarray, np.ndarray]], key: np.ndarray, n: np.ndarray) -> Trie:
-        """A bucket's part: its longest pairs, the orders that follow from them, and the shared low ones."""
-        long = {ORDER: (key, n)}
-        for order in range(ORDER - 1, LOW, -1):
+    def bucket(cls, low: list[tuple[np.ndarray, np.ndarray]], two: tuple[np.ndarray, np.ndarray], key: np.ndarray, n: np.ndarray) -> Trie:
+        """A bucket's part: its longest pairs, the orders that follow from them, its order-2 pairs, and the shared low ones."""
+        long = {ORDER: (key, n), LOW + 1: two}
+        for order in range(ORDER - 1, LOW + 1, -1):
             long[order] = tally(long[order + 1][0] & ((1 << 8 * (order + 1)) - 1), long[order + 1][1])
         none = np.empty(0, np.int64)
         out = cls(*([long.get(k, (none, none))[j] for k in range(ORDER + 1)] for j in (0, 1)))
@@ -216,13 +197,41 @@ def low_orders(pairs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def spread(ending):
-    """A number for a context's last three bytes, over columns and arrays alike."""
-    return ending * 0x9E3779B1
+@dataclass
+class Directory:
+    """For each pair of bytes that ends a context: its first bucket, and in how many it is split by the byte before."""
 
+    first: np.ndarray
+    parts: np.ndarray
+    buckets: int
 
-def key_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (spread(keys >> 8 & 0xFFFFFF) >> 12) % buckets
+    @classmethod
+    def of(cls, pairs: DataFrame, bucket: int) -> Directory:
+        """Buckets of about `bucket` pairs, from the pairs of each ending: at most ENDINGS counts come to the driver."""
+        got = pairs.groupBy(F.shiftright("key", 8).bitwiseAND(F.lit(ENDINGS - 1)).alias("ending")).agg(F.count("*").alias("n")).toArrow()
+        n = np.zeros(ENDINGS, np.int64)
+        n[got["ending"].to_numpy()] = got["n"].to_numpy()
+        small = n <= bucket
+        parts = np.clip(-(-n // bucket), 1, 256)
+        first = np.maximum(np.cumsum(np.where(small, n, 0)) - 1, 0) // bucket
+        shared = int(first.max()) + 1
+        own = np.where(small, 0, parts)
+        first = np.where(small, first, shared + np.cumsum(own) - own)
+        return cls(first, parts, shared + int(own.sum()))
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        ending = keys >> 8 & (ENDINGS - 1)
+        return self.first[ending] + (spread(keys >> 24 & 255) >> 13) % self.parts[ending]
+
+    def dealt(self, pairs: DataFrame, ending: Column) -> DataFrame:
+        """pairs with `first` and `parts` of their ending."""
+        table = pd.DataFrame({"_e": np.arange(ENDINGS), "first": self.first, "parts": self.parts})
+        return pairs.join(F.broadcast(pairs.sparkSession.createDataFrame(table)), ending == F.col("_e")).drop("_e")  # ENDINGS rows
+
+
+def spread(byte):
+    """A number for a byte, over columns and arrays alike."""
+    return byte * 0x9E3779B1
 
 
 def word_bucket(word: bytes, buckets: int) -> int:
@@ -252,10 +261,23 @@ def distinct_keys(texts: list[bytes]) -> np.ndarray:
     return tally(np.concatenate([found, *held]))[0]
 
 
-def questions(texts: list[bytes], buckets: int, most: int = 4_096) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed keys or words): all that the texts hold, in lists of at most `most`."""
-    keys = distinct_keys(texts)
-    b = key_bucket(keys, buckets)
+def packed_logs(logs: np.ndarray) -> bytes:
+    """Logs as their distinct values and each one's number among them, compressed."""
+    values, place = np.unique(logs, return_inverse=True)
+    width = np.min_scalar_type(len(values))
+    return zlib.compress(len(values).to_bytes(4, "little") + bytes([width.itemsize]) + values.tobytes() + place.astype(width).tobytes(), 1)
+
+
+def unpacked_logs(data: bytes) -> np.ndarray:
+    raw_data = zlib.decompress(data)
+    n = int.from_bytes(raw_data[:4], "little")
+    return np.frombuffer(raw_data, np.float64, n, 5)[np.frombuffer(raw_data, f"u{raw_data[4]}", offset=5 + 8 * n)]
+
+
+def questions(texts: list[bytes], directory: Directory, most: int = 16_384) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed keys or words): all that the texts hold, in lists of at most `most`; buckets of words follow those of keys."""
+    keys, buckets = distinct_keys(texts), directory.buckets
+    b = directory.bucket(keys)
     order = np.argsort(b, kind="stable")
     keys, b = keys[order], b[order]
     ends = np.append(np.flatnonzero(b[1:] != b[:-1]) + 1, len(b))
@@ -270,17 +292,21 @@ def questions(texts: list[bytes], buckets: int, most: int = 4_096) -> Iterator[t
             yield bucket, zlib.compress(b" ".join(held[k : k + most]), 1)
 
 
-def answered(pairs: DataFrame, tokens: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
+def answered(pairs: DataFrame, tokens: DataFrame, asked: DataFrame, directory: Directory) -> DataFrame:
     """(g, b, ask, reply) of each question asked(g, b, ask): the logs of its keys, or the counts of its words.
 
-    A task sorts its buckets, reads each bucket's facts and then answers its questions as they come.
+    A task sorts its buckets, reads each bucket's facts (g is PAIR, TWO or WORD) and then answers its questions as they come.
     """
-    sent = pairs.sparkSession.sparkContext.broadcast(low_orders(pairs))
+    buckets = directory.buckets
+    sent = pairs.sparkSession.sparkContext.broadcast(low_orders(pairs))  # at most 2 ** 16 + 2 ** 8 pairs
     none, zero = F.lit(b""), F.lit(0).cast("long")
-    ending = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))
-    by_key = pairs.select((F.shiftright(spread(ending), 12) % buckets).cast("int").alias("b"), F.lit(-1).alias("g"), "key", "n", none.alias("ask"))
-    by_word = tokens.select((F.crc32("token") % buckets + buckets).cast("int").alias("b"), F.lit(-1).alias("g"), zero.alias("key"), "n", F.col("token").alias("ask"))
-    every = by_key.unionByName(by_word).unionByName(asked.select("b", "g", zero.alias("key"), zero.alias("n"), "ask"))
+    ending = F.shiftright("key", 8).bitwiseAND(F.lit(ENDINGS - 1))
+    part = F.shiftright(spread(F.shiftright("key", 24).bitwiseAND(F.lit(255))), 13) % F.col("parts")
+    by_key = directory.dealt(pairs, ending).select((F.col("first") + part).cast("int").alias("b"), F.lit(PAIR).alias("g"), "key", "n", none.alias("ask"))
+    two = pairs.groupBy(F.col("key").bitwiseAND(F.lit((1 << 24) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+    by_two = directory.dealt(two, ending).select(F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + F.col("parts") - 1).cast("int"))).alias("b"), F.lit(TWO).alias("g"), "key", "n", none.alias("ask"))
+    by_word = tokens.select((F.crc32("token") % buckets + buckets).cast("int").alias("b"), F.lit(WORD).alias("g"), zero.alias("key"), "n", F.col("token").alias("ask"))
+    every = by_key.unionByName(by_two).unionByName(by_word).unionByName(asked.select("b", "g", zero.alias("key"), zero.alias("n"), "ask"))
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, facts, book = -1, [], None
@@ -295,12 +321,11 @@ def answered(pairs: DataFrame, tokens: DataFrame, asked: DataFrame, buckets: int
                 if told.all():
                     continue
                 if book is None:
-                    key, n = (np.concatenate([f[c].to_numpy() for f in facts]) if facts else np.empty(0, np.int64) for c in ("key", "n"))
-                    book = Trie.bucket(sent.value, key, n) if b < buckets else dict(zip((bytes(w) for f in facts for w in f["ask"]), n.tolist()))
+                    book = _book(sent.value, facts, b < buckets)
                     facts = []
                 for g, ask in zip(part["g"][~told].tolist(), part["ask"][~told]):
                     if b < buckets:
-                        reply = book.logs_of(unpacked(ask)).tobytes()
+                        reply = packed_logs(book.logs_of(unpacked(ask)))
                     else:
                         reply = zlib.compress(np.array([book.get(w, 0) for w in zlib.decompress(ask).split(b" ")], np.int64).tobytes(), 1)
                     out.append((g, b, ask, reply))
@@ -311,7 +336,15 @@ def answered(pairs: DataFrame, tokens: DataFrame, asked: DataFrame, buckets: int
         if out:
             yield pd.DataFrame(out, columns=["g", "b", "ask", "reply"])
 
-    return every.repartition(max(1, buckets // 4), "b").sortWithinPartitions("b", "g").mapInPandas(answer, "g int, b int, ask binary, reply binary")
+    return every.repartition(max(1, buckets // 2), "b").sortWithinPartitions("b", "g").mapInPandas(answer, "g int, b int, ask binary, reply binary")
+
+
+def _book(low: list[tuple[np.ndarray, np.ndarray]], facts: list[pd.DataFrame], of_keys: bool) -> Trie | dict[bytes, int]:
+    every = pd.concat(facts) if facts else pd.DataFrame({"g": np.empty(0, np.int64), "key": np.empty(0, np.int64), "n": np.empty(0, np.int64), "ask": []})
+    if not of_keys:
+        return dict(zip(map(bytes, every["ask"]), every["n"].tolist()))
+    own, two = (every[every["g"] == kind] for kind in (PAIR, TWO))
+    return Trie.bucket(low, (two["key"].to_numpy(), two["n"].to_numpy()), own["key"].to_numpy(), own["n"].to_numpy())
 
 
 def scores(texts: list[bytes], known: np.ndarray, log: np.ndarray) -> np.ndarray:
@@ -332,11 +365,12 @@ def held_out(doc_id: Column, folds: int = 10, out: int = 0) -> Column:
     return F.coalesce(fold(doc_id, folds) == out, F.lit(False))
 
 
-def score(docs: DataFrame, learn: Column, group: int = 3_000, bucket: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, learn: Column, group: int = 6 << 20, bucket: int = 60_000) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the rows where `learn` holds. Null texts count as empty; an empty text is its end alone. Rows are
-    handled one by one. `group` is about how many documents share their questions, `bucket` about how many pairs or words share
+    handled one by one, so repeated rows are spread like any others; docs should be a table or cut, since a row's place in it is part of
+    how rows are dealt. `group` is about how many bytes of text share their questions, `bucket` about how many pairs or words share
     an answering bucket; neither changes results.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -344,24 +378,25 @@ def score(docs: DataFrame, learn: Column, group: int = 3_000, bucket: int = 20_0
     total, distinct = tokens.agg(F.sum("n"), F.count("*")).first()
     total, floor = int(total or 0), 0.1
     whole = total + floor * (distinct + 1)
-    buckets = max(1, -(-max(pairs.count(), distinct) // bucket))
-    groups = max(1, -(-docs.count() // group))
-    dealt = own.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    directory = Directory.of(pairs, bucket)
+    rows, size = own.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups = max(1, -(-max(size or 0, rows * 64) // group))
+    dealt = own.withColumn("g", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
     def wanted(x: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(list(questions([raw(t) for t in x["text"]], buckets)), columns=["b", "ask"])
+        out = pd.DataFrame(list(questions([raw(t) for t in x["text"]], directory)), columns=["b", "ask"])
         return out.assign(g=x["g"].iloc[0])[["g", "b", "ask"]]
 
-    replies = answered(pairs, tokens, dealt.groupBy("g").applyInPandas(wanted, "g int, b int, ask binary"), buckets)
+    replies = answered(pairs, tokens, dealt.groupBy("g").applyInPandas(wanted, "g int, b int, ask binary"), directory)
 
     def judge(x: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if x.empty:
             return pd.DataFrame({c: [] for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
         keys, logs, counts = [], [], {}
         for b, ask, reply in zip(told["b"].tolist(), told["ask"], told["reply"]):
-            if b < buckets:
+            if b < directory.buckets:
                 keys.append(unpacked(ask))
-                logs.append(np.frombuffer(reply))
+                logs.append(unpacked_logs(reply))
             else:
                 counts.update(zip(zlib.decompress(ask).split(b" "), np.frombuffer(zlib.decompress(reply), np.int64).tolist()))
         keys, logs = np.concatenate(keys), np.concatenate(logs)

@@ -58,13 +58,15 @@ def learn():
 
 
 def test_matches_brute_force(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars < 3000")
+    """Whole texts of every length, some over 3,000 characters."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in table.collect()]
-    compare(ppm.score(table, learn(), group=50).collect(), brute(rows))
+    assert sum(len(t or "") > 3_000 for _, t in rows) > 10
+    compare(ppm.score(table, learn(), group=60_000, bucket=2_000).collect(), brute(rows))
 
 
 def test_odd_rows(spark):
-    compare(ppm.score(odd(spark), learn(), group=3).collect(), brute([(i, t) for i, t, *_ in ODD]))
+    compare(ppm.score(odd(spark), learn(), group=40_000).collect(), brute([(i, t) for i, t, *_ in ODD]))
     assert ppm.score(docs(spark, []), learn()).collect() == []
 
 
@@ -93,19 +95,28 @@ def test_probabilities_sum_to_one(n):
     assert sum(10 ** trie.log((97 + n) << 8 | s) for s in range(256)) == pytest.approx(1)
 
 
-def test_cutoff_bounds_the_trie(spark, sf_dir):
-    pairs, _ = ppm.counted(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    got = ppm.levels(pairs, 5_000)
-    assert 0 < got.where("level > 2").count() <= 5_000
-    assert ppm.levels(pairs, 10**9).where("level = 5").count() == pairs.count()
+@pytest.mark.parametrize("bucket", [40, 500, 10**6])
+def test_whole_trie_whatever_its_size(spark, bucket):
+    """No pair is cut off, in however many buckets the trie lies and endings are split."""
+    rows = [(i, " ".join(f"{(i * 7919 + k * k * 31) % 99991:x}" for k in range(80))) for i in range(60)] + [(60, None), (61, "zz" * 40), (62, "\u00e9\u00e9 \u65e5 q")]
+    got = ppm.score(docs(spark, [(i, t, "a") for i, t in rows]), learn(), group=3_000, bucket=bucket).collect()
+    compare(got, brute(rows))
+
+
+def test_directory_splits_hot_endings(spark):
+    keys = [(c << 8 | 97, 1) for c in range(0x610000, 0x610000 + 3)] + [((t << 24 | 0x6262 << 8 | s), 1) for t in range(64) for s in range(4)]
+    pairs = spark.createDataFrame(keys, "key long, n long")
+    d = ppm.Directory.of(pairs, 50)
+    assert d.parts[0x6262] > 1 and d.parts[0] == 1
+    got = {r.key: r.b for r in d.dealt(pairs, F.shiftright("key", 8).bitwiseAND(F.lit(ppm.ENDINGS - 1))).select("key", (F.col("first") + F.shiftright(ppm.spread(F.shiftright("key", 24).bitwiseAND(F.lit(255))), 13) % F.col("parts")).alias("b")).collect()}
+    assert got == {k: int(d.bucket(np.array([k]))[0]) for k, _ in keys}
+    assert max(got.values()) < d.buckets and len(set(got.values())) > 3
 
 
-@pytest.mark.parametrize("bucket", [500, 10**6])
-def test_whole_trie_whatever_its_size(spark, monkeypatch, bucket):
-    """No pair is cut off, in however many buckets the trie lies."""
-    monkeypatch.setattr(ppm, "levels", None)
-    rows = [(i, " ".join(f"{(i * 7919 + k * k * 31) % 99991:x}" for k in range(80))) for i in range(60)]
-    got = ppm.score(docs(spark, [(i, t, "a") for i, t in rows]), learn(), group=7, bucket=bucket).collect()
+def test_repeated_rows_are_spread(spark):
+    rows = [(None, "")] * 300 + [(5, "same words here")] * 300
+    got = ppm.score(docs(spark, [(i, t, "a") for i, t in rows]), learn(), group=1_500).collect()
+    assert len(got) == 600
     compare(got, brute(rows))
 
 
@@ -113,7 +124,10 @@ def test_packing_keeps_keys():
     keys = np.unique(np.random.default_rng(3).integers(0, 1 << 48, 5_000))
     assert (ppm.unpacked(ppm.packed(keys)) == keys).all()
     texts = [b"abc abd", b"", b"xyz " * 50]
-    asked = list(ppm.questions(texts, 3, most=2))
+    logs = np.random.default_rng(4).choice(np.linspace(-3, 0, 300), 5_000)
+    assert (ppm.unpacked_logs(ppm.packed_logs(logs)) == logs).all() and not len(ppm.unpacked_logs(ppm.packed_logs(logs[:0])))
+    d = ppm.Directory(np.arange(ppm.ENDINGS) % 2, np.where(np.arange(ppm.ENDINGS) % 2, 2, 1), 3)
+    asked = list(ppm.questions(texts, d, most=2))
     found = np.concatenate([ppm.unpacked(a) for b, a in asked if b < 3])
     assert sorted(found.tolist()) == sorted({k for t in texts for k in _plain(t)})
     assert {w for b, a in asked if b >= 3 for w in zlib.decompress(a).split(b" ")} == {b"", b"abc", b"abd", b"xyz"}
