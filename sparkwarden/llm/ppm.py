@@ -365,7 +365,7 @@ def held_out(doc_id: Column, folds: int = 10, out: int = 0) -> Column:
     return F.coalesce(fold(doc_id, folds) == out, F.lit(False))
 
 
-def score(docs: DataFrame, learn: Column, group: int = 6 << 20, bucket: int = 60_000) -> DataFrame:
+def score(docs: DataFrame, learn: Column, group: int = 16 << 20, bucket: int = 60_000) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the rows where `learn` holds. Null texts count as empty; an empty text is its end alone. Rows are
