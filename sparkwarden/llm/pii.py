@@ -1,8 +1,9 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Regexes propose candidates; regex, gazetteer and context labelers vote on each; expectation-maximisation over
-the counts of vote patterns estimates the labelers' reliabilities without labels; a logistic span classifier is trained on the
-posteriors and decides about every candidate that the base rules don't settle. Base matches always stay.
+Regexes propose candidates; regex, gazetteer and context labelers vote for or against each, or abstain; expectation-maximisation over
+the counts of vote patterns estimates each labeler's reliability for each kind without labels. A logistic span classifier over votes
+and features of the span itself is trained on the posteriors and decides about every candidate that the base rules don't settle. Base
+matches always stay, and take no part in the estimates.
 
 Places of matches come from the lengths of what lies between them (split) and of the matches themselves,
 summed up in blocks, so that a text with very many matches stays linear.
@@ -11,9 +12,10 @@ summed up in blocks, so that a text with very many matches stays linear.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,29 @@ MORE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++",
 }
 MORE_HINT = r"[0-9].{0,3}[0-9A-Za-z]|[\[(]at[\])]"
-#: Cue words and gazetteers of the labelers.
-CUES = r"(?i)(?:token|secret|passw|pwd|api.?key|bearer|auth|mail|contact|phone|tel\b|call|mobile|fax|card|visa|iban|account|ssn|social|host|server|login|addr)[^\n]{0,24}$"
-AGAINST = r"(?i)(?:isbn|version|page|order|invoice|chapter|commit|revision|build|figure|#)[\x20:=.]{0,3}$"
-SHAPES = r"^(?:[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]*\.[A-Za-z]{2,}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{16}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|3[0-9]{14}|\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-].*|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{11,35}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\([0-9]{3}\).*)$"
-GAZETTEER = r"(?:\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu)$|^(?:10|127|192\.168|172)\.|^(?:4|5[1-5]|3[47]|35|6011|65|2[2-7])[0-9\x20-]{11,}$|^\+(?:1|3[0-9]|4[0-9]|5[0-9]|6[0-6]|7|8[1-6]|9[0-8])\D|^(?:ghp_|gho_|sk-|AKIA|xox|eyJ)|^[0-9a-f]{40}$|^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)[0-9]{2}|^[0-8][0-9]{2}-[0-9]{2}-|555.[0-9]{4}$)"
-VOTERS = ("shape", "valid", "cue", "assigned", "gazetteer", "isolated", "not_against")
+#: Gazetteers and cue words of the labelers, by kind.
+TLDS = "com org net edu gov int mil info biz name io ai app dev co me tv eu us uk de fr es it nl be ch at se no dk fi pl pt ie cz gr ro hu ru ua tr cn jp in kr au nz br ca mx ar za".split()
+IBAN_LENGTH = {"AT": 20, "BE": 16, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IT": 27, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24}
+SECRET_PREFIXES = ("ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "pk_live_", "sk_live_", "AKIA", "ASIA", "AIza", "xoxb-", "xoxp-", "xoxa-", "eyJ", "SG.", "npm_", "pypi-")
+FAKE_SSNS = ("078-05-1120", "219-09-9999", "457-55-5462", "123-45-6789")
+CUES = {
+    "email": "mail|contact|write to|reach",
+    "phone": "phone|tel|call|mobile|cell|fax|whatsapp|dial",
+    "secret": "token|secret|passw|pwd|api.?key|bearer|auth|credential|private.?key|access.?key",
+    "iban": "iban|account|bank|transfer|konto|compte|cuenta",
+    "ssn": "ssn|social.?security|social|taxpayer",
+}
+AGAINST = r"(?i)(?:isbn|issn|doi|version|page|order|invoice|chapter|commit|revision|build|figure|part no|serial|model|sku|article|ticket|case|#)[^\n\p{L}]{0,6}$"
+SHAPES = {
+    "email": r"^[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]++)+$",
+    "phone": r"^\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}$|^([0-9]{3}([.-])[0-9]{3}\2[0-9]{4})$",
+    "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[A-Za-z0-9]{32,})$",
+    "iban": r"^[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4})+(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]+)$",
+    "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
+}
+VOTERS = ("shape", "valid", "cue", "against", "assigned", "gazetteer", "isolated")
+#: Features of a span, each in so many bins: length, shares of digits, capitals and distinct characters, both cases, separators.
+BINS = {"length": 8, "digits": 5, "capitals": 4, "distinct": 4, "cases": 2, "parts": 3}
 
 
 def _found(text: str, pattern: str, hint: str, block: int = 256) -> str:
@@ -66,39 +85,83 @@ def _luhn(v: str) -> str:
     return f"element_at(transform(array({_digits(v)}), d -> if(length(d) BETWEEN 12 AND 19, {total} % 10 = 0, false)), 1)"
 
 
-VALID = {
+def _mod97(v: str) -> str:
+    turned = f"filter(split(concat(substring(c, 5), substring(c, 1, 4)), ''), k -> k <> '')"
+    step = "(r, k) -> if(k RLIKE '[0-9]', (r * 10 + int(k)) % 97, (r * 100 + ascii(k) - 55) % 97)"
+    return f"element_at(transform(array(replace({v}, ' ', '')), c -> aggregate({turned}, 0, {step}) = 1), 1)"
+
+
+#: The base rules' checks.
+BASE_VALID = {
     "email": "true",
     "ip": "forall(split(x.v, r'[.]'), p -> length(ltrim('0', p)) <= 3 AND cast(concat('0', right(p, 3)) AS int) <= 255)",
     "card": _luhn("x.v"),
     "phone": f"length({_digits('x.v')}) BETWEEN 9 AND 15",
-    "secret": "size(array_distinct(split(x.v, ''))) >= 10 AND x.v RLIKE r'[0-9].*[0-9].*[0-9].*[0-9]'",
-    "iban": "length(replace(x.v, ' ', '')) BETWEEN 15 AND 34",
-    "ssn": "NOT x.v RLIKE r'^(?:000|666|9)|-00-|-0000$'",
 }
 
 
-def _candidates(text: str, kind: str, found: str, base: bool) -> str:
-    """SQL for array<struct<s, rank, e, base, votes>> of the matches of one kind."""
+def _either(yes: str, no: str = "") -> str:
+    """SQL of a vote: 1 for, 2 against, 0 to abstain."""
+    return f"CASE WHEN {yes} THEN 1 WHEN {no or 'false'} THEN 2 ELSE 0 END"
+
+
+def _words(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_COUNTRY = f"element_at(map({', '.join(f"'{c}', {n}" for c, n in IBAN_LENGTH.items())}), substring(x.v, 1, 2))"
+_RICH = "size(array_distinct(split(x.v, ''))) >= 10 AND x.v RLIKE r'[0-9].*[0-9].*[0-9].*[0-9]'"
+_AREA = "x.v RLIKE r'^(?:000|666|9)|-00-|-0000$'"
+_NUMBER = f"{_digits('x.v')} RLIKE r'^[2-9][0-9]{{2}}[2-9]'"
+_TLD = f"element_at(split(lower(x.v), r'[^a-z0-9]+'), -1) IN ({_words(TLDS)})"
+#: The kinds' checks and gazetteers as votes.
+VALID = {"email": _either(_TLD, "NOT x.v RLIKE r'[A-Za-z]{2,}$'"), "phone": _either(_NUMBER, f"NOT {_NUMBER}"), "secret": _either(_RICH, f"NOT ({_RICH})"), "iban": _either(_mod97("x.v"), f"NOT {_mod97('x.v')}"), "ssn": _either(f"NOT {_AREA}", _AREA)}
+KNOWN = {
+    "email": _either(r"x.v RLIKE r'(?i)[\[(]dot[\])]'"),
+    "phone": _either("false", f"{_digits('x.v')} RLIKE r'^(?:([0-9])\\1{{9}}|1234567890)$'"),
+    "secret": _either(" OR ".join(f"startswith(x.v, '{p}')" for p in SECRET_PREFIXES), "x.v RLIKE r'^(?:[A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$'"),
+    "iban": _either(f"coalesce({_COUNTRY} = length(replace(x.v, ' ', '')), false)", f"coalesce({_COUNTRY} <> length(replace(x.v, ' ', '')), true)"),
+    "ssn": _either("false", f"x.v IN ({_words(FAKE_SSNS)})"),
+}
+
+
+def _base(kind: str, found: str) -> str:
+    """SQL for the structs of a base rule's matches: settled, and base where its check holds."""
+    return f"transform({found}, x -> struct(x.s AS s, {KINDS.index(kind)} AS rank, x.e AS e, {BASE_VALID[kind]} AS base, 0 AS votes, 0 AS feat, true AS settled))"
+
+
+def _more(text: str, kind: str, found: str) -> str:
+    """SQL for the structs of further candidates of one kind, with their votes (two bits each) and features."""
     before, after = f"substring({text}, greatest(x.s - 39, 1), least(x.s, 40))", f"substring({text}, x.e + 1, 1)"
     votes = {
-        "shape": f"x.v RLIKE r'{SHAPES}'", "valid": "x.ok", "cue": f"x.before RLIKE r'{CUES}'", "assigned": "x.before RLIKE r'[=:]\\s{0,2}[\"(<\\[]?$'",
-        "gazetteer": f"x.v RLIKE r'{GAZETTEER}'", "isolated": "NOT x.before RLIKE r'[\\p{L}\\p{N}]$' AND NOT x.after RLIKE r'^[\\p{L}\\p{N}]'", "not_against": f"NOT x.before RLIKE r'{AGAINST}'",
+        "shape": _either(f"x.v RLIKE r'{SHAPES[kind]}'"), "valid": VALID[kind], "cue": _either(f"x.before RLIKE r'(?i)(?:{CUES[kind]})[^\\n]{{0,24}}$'"), "against": _either("false", f"x.before RLIKE r'{AGAINST}'"),
+        "assigned": _either("x.before RLIKE r'[=:]\\s{0,2}[\"(<\\[]?$'"), "gazetteer": KNOWN[kind], "isolated": _either("false", "x.before RLIKE r'[\\p{L}\\p{N}]$' OR x.after RLIKE r'^[\\p{L}\\p{N}]'"),
     }
-    bits = " + ".join(f"if({votes[name]}, {1 << k}, 0)" for k, name in enumerate(VOTERS))
-    seen = f"transform({found}, x -> struct(x.s AS s, x.e AS e, x.v AS v, {VALID[kind]} AS ok, {before} AS before, {after} AS after))"
-    return f"transform({seen}, x -> struct(x.s AS s, {KINDS.index(kind)} AS rank, x.e AS e, {'x.ok' if base else 'false'} AS base, {bits} AS votes, {str(base).lower()} AS settled))"
+    bits = " + ".join(f"{4**k} * ({votes[name]})" for k, name in enumerate(VOTERS))
+    many = lambda kept: f"length(regexp_replace(x.v, r'[^{kept}]', ''))"
+    bins = {
+        "length": "least(7, length(x.v) div 6)", "digits": f"{many('0-9')} * 4 div length(x.v)", "capitals": f"{many('A-Z')} * 3 div length(x.v)", "distinct": "least(3, size(array_distinct(split(x.v, ''))) * 4 div length(x.v))",
+        "cases": "if(x.v RLIKE r'[A-Z]' AND x.v RLIKE r'[a-z]', 1, 0)", "parts": f"least(2, {many(' ./_()-')} div 2)",
+    }
+    code, size = [], 1
+    for name, n in BINS.items():
+        code.append(f"{size} * ({bins[name]})")
+        size *= n
+    seen = f"transform({found}, x -> struct(x.s AS s, x.e AS e, x.v AS v, {before} AS before, {after} AS after))"
+    return f"transform({seen}, x -> struct(x.s AS s, {KINDS.index(kind)} AS rank, x.e AS e, false AS base, cast({bits} AS int) AS votes, cast({' + '.join(code)} AS int) AS feat, false AS settled))"
 
 
 def candidates(t: str) -> Column:
-    """array<struct<s, rank, e, base, votes, settled>> of the text column named t, by start and kind.
+    """array<struct<s, rank, e, base, votes, feat, settled>> of the text column named t, by start and kind.
 
-    base: a base match that stays. settled: the base rules have spoken, for or against. votes: one bit for each of VOTERS.
+    base: a base match that stays. settled: the base rules have spoken, for or against. votes: two bits for each of VOTERS. feat: the bins of
+    BINS as one number.
     """
-    parts = [_candidates(t, k, _found(t, p, HINT[k]), True) for k, p in BASE.items()]
+    parts = [_base(k, _found(t, p, HINT[k])) for k, p in BASE.items()]
     any_more = "|".join(f"(?:{p})" for p in MORE.values())
     of_kind = {k: " AND ".join([f"x.v RLIKE r'^(?:{_plain(MORE[k])})$'"] + [f"NOT x.v RLIKE r'^(?:{_plain(MORE[j])})$'" for j in list(MORE)[:n]]) for n, k in enumerate(MORE)}
-    more = [_candidates(t, k, f"filter(m, x -> {of_kind[k]})", False) for k in MORE]
-    rest = f"element_at(transform(array({_found(t, any_more, MORE_HINT)}), m -> if(size(m) = 0, cast(array() AS array<struct<s:int,rank:int,e:int,base:boolean,votes:int,settled:boolean>>), concat({', '.join(more)}))), 1)"
+    more = [_more(t, k, f"filter(m, x -> {of_kind[k]})") for k in MORE]
+    rest = f"element_at(transform(array({_found(t, any_more, MORE_HINT)}), m -> if(size(m) = 0, cast(array() AS array<struct<s:int,rank:int,e:int,base:boolean,votes:int,feat:int,settled:boolean>>), concat({', '.join(more)}))), 1)"
     return F.expr(f"sort_array(concat({', '.join(parts)}, {rest}))")
 
 
@@ -113,57 +176,101 @@ def scanned(docs: DataFrame) -> DataFrame:
     return own.withColumn("_pii", candidates("_pii_text")).drop("_pii_text")
 
 
-def reliabilities(patterns: DataFrame, rounds: int = 12) -> tuple[float, list[tuple[float, float]]]:
-    """Prior of a true span and, for each voter, its rate of votes on true and on false spans, from patterns(votes, n).
+#: What a labeler is taken to do before any text is seen, as counts: its share of votes for and against on true and on false spans.
+BELIEF = {"for": (0.5, 0.1), "against": (0.05, 0.4)}
+STRENGTH = 4.0
+
+
+@dataclass
+class Reliabilities:
+    """For each kind the prior of a true span, and for each labeler the log odds that its votes for and against add. To abstain adds nothing."""
+
+    prior: list[float]
+    odds: list[list[tuple[float, float]]]
+
+    @classmethod
+    def believed(cls) -> Reliabilities:
+        start = (math.log(BELIEF["for"][0] / BELIEF["for"][1]), math.log(BELIEF["against"][0] / BELIEF["against"][1]))
+        return cls([0.5] * len(KINDS), [[start] * len(VOTERS) for _ in KINDS])
+
+    def posterior(self) -> Column:
+        """Of a true span, from rank and votes."""
+        base = F.lit([math.log(p / (1 - p)) for p in self.prior])
+        added = F.lit([x for kind in self.odds for yes, no in kind for x in (0.0, yes, no, 0.0)])
+        total = F.get(base, F.col("rank"))
+        for k in range(len(VOTERS)):
+            total = total + F.get(added, (F.col("rank") * len(VOTERS) + k) * 4 + vote(F.col("votes"), k))
+        return 1 / (1 + F.exp(-total))
 
-    Expectation-maximisation from the start that a true span gets most of the votes; each round is one aggregate over the
-    at most 2 ** len(VOTERS) patterns.
+
+def vote(votes: Column, k: int) -> Column:
+    return F.shiftright(votes, 2 * k).bitwiseAND(F.lit(3))
+
+
+def reliabilities(patterns: DataFrame, rounds: int = 12) -> Reliabilities:
+    """Estimates for each kind from patterns(rank, votes, n), by expectation-maximisation from BELIEF, which weighs as STRENGTH spans of each class.
+
+    A vote for a span never lowers its odds and one against never raises them. Each round is one aggregate to a row a kind.
     """
-    prior, rates = 0.5, [(0.8, 0.3)] * len(VOTERS)
-    bit = [F.shiftright("votes", k).bitwiseAND(F.lit(1)) == 1 for k in range(len(VOTERS))]
-    clip = lambda x: min(0.98, max(0.02, x))
+    now = Reliabilities.believed()
     for _ in range(rounds):
-        p = _posterior(prior, rates)
-        true, false = p * F.col("n"), (1 - p) * F.col("n")
-        sums = patterns.agg(F.sum(true), F.sum(false), *(F.sum(F.when(b, x).otherwise(0.0)) for b in bit for x in (true, false))).first()
-        if not sums[0] or not sums[1]:
-            break
-        prior = clip(sums[0] / (sums[0] + sums[1]))
-        rates = [(clip(sums[2 + 2 * k] / sums[0]), clip(sums[3 + 2 * k] / sums[1])) for k in range(len(VOTERS))]
-    return prior, rates
-
-
-def _posterior(prior: float, rates: list[tuple[float, float]]) -> Column:
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for k, (a, b) in enumerate(rates):
-        odds = odds + F.when(F.shiftright("votes", k).bitwiseAND(F.lit(1)) == 1, math.log(a / b)).otherwise(math.log((1 - a) / (1 - b)))
-    return 1 / (1 + F.exp(-odds))
-
-
-def classifier(scans: DataFrame) -> tuple[float, list[float]]:
-    """Intercept and a weight for each voter of the span classifier, learnt from all candidates of scans(_pii)."""
-    patterns = cut(scans.select(F.explode("_pii.votes").alias("votes")).groupBy("votes").agg(F.count("*").alias("n")))
+        p = now.posterior()
+        sides = (p * F.col("n"), (1 - p) * F.col("n"))
+        sums = [F.sum(F.when(vote(F.col("votes"), k) == v, x).otherwise(0.0)) for k in range(len(VOTERS)) for v in (1, 2) for x in sides]
+        new = Reliabilities.believed()
+        for r in patterns.groupBy("rank").agg(*map(F.sum, sides), *sums).collect():
+            rank, true, false, *votes = r
+            new.prior[rank] = (true + STRENGTH / 2) / (true + false + STRENGTH)
+            for k in range(len(VOTERS)):
+                share = [(votes[4 * k + j] + STRENGTH * belief) / (n + STRENGTH) for j, (n, belief) in enumerate(zip((true, false) * 2, (*BELIEF["for"], *BELIEF["against"])))]
+                new.odds[rank][k] = (max(0.0, math.log(share[0] / share[1])), min(0.0, math.log(share[2] / share[3])))
+        now = new
+    return now
+
+
+def _slots(rank: Column, votes: Column, feat: Column) -> list[tuple[Column, int]]:
+    """The classifier's inputs: each a number below its size."""
+    out, place = [(rank, len(KINDS)), *((vote(votes, k), 3) for k in range(len(VOTERS)))], 1
+    for n in BINS.values():
+        out.append((F.floor(feat / place).cast("int") % n, n))
+        place *= n
+    return out
+
+
+@dataclass
+class SpanClassifier:
+    """An intercept and a weight for each value of each input."""
+
+    intercept: float
+    weights: list[float]
+
+    def odds(self, x: Column) -> Column:
+        total, at, table = F.lit(self.intercept), 0, F.lit(self.weights)
+        for number, n in _slots(x["rank"], x["votes"], x["feat"]):
+            total = total + F.get(table, number + at)
+            at += n
+        return total
+
+
+def classifier(scans: DataFrame) -> SpanClassifier:
+    """The span classifier, learnt from the posteriors of all unsettled candidates of scans(_pii); without any, one that takes nothing."""
+    found = scans.select(F.explode(F.filter("_pii", lambda x: ~x["settled"])).alias("c")).select("c.rank", "c.votes", "c.feat")
+    patterns = cut(found.groupBy("rank", "votes", "feat").agg(F.count("*").alias("n")))
+    slots = _slots(*map(F.col, ("rank", "votes", "feat")))
     if patterns.isEmpty():
-        return -1.0, [0.0] * len(VOTERS)
-    prior, rates = reliabilities(patterns)
-    names = [f"v{k}" for k in range(len(VOTERS))]
-    rows = patterns.select(_posterior(prior, rates).alias("p"), "n", *(F.shiftright("votes", k).bitwiseAND(F.lit(1)).cast("double").alias(v) for k, v in enumerate(names)))
-    rows = rows.select(*names, F.explode(F.array(F.struct(F.lit(1.0).alias("y"), (F.col("p") * F.col("n")).alias("w")), F.struct(F.lit(0.0).alias("y"), ((1 - F.col("p")) * F.col("n")).alias("w")))).alias("s")).select(*names, "s.y", "s.w")
-    assembled = VectorAssembler(inputCols=names, outputCol="x").transform(rows)
-    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1e-3, maxIter=50).fit(assembled)
-    return float(fitted.intercept), [float(w) for w in fitted.coefficients.toArray().tolist()]
+        return SpanClassifier(-1.0, [0.0] * sum(n for _, n in slots))
+    p = reliabilities(patterns.groupBy("rank", "votes").agg(F.sum("n").alias("n"))).posterior()
+    x = F.array(*((number == v).cast("double") for number, n in slots for v in range(n)))
+    sides = F.array(F.struct(F.lit(1.0).alias("y"), (p * F.col("n")).alias("w")), F.struct(F.lit(0.0).alias("y"), ((1 - p) * F.col("n")).alias("w")))
+    rows = patterns.select(array_to_vector(x).alias("x"), F.explode(sides).alias("s")).select("x", "s.y", "s.w")
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1e-3, maxIter=50, standardization=False).fit(rows)
+    return SpanClassifier(float(fitted.intercept), [float(w) for w in fitted.coefficients.toArray().tolist()])
 
 
-def accepted(model: tuple[float, list[float]], least: float = 0.5) -> Column:
+def accepted(model: SpanClassifier, least: float = 0.5) -> Column:
     """The spans of _pii that stay: base matches, and unsettled candidates that the classifier gives at least `least`."""
     cutoff = math.log(least / (1 - least))
-
-    def stays(x: Column) -> Column:
-        odds = F.lit(model[0])
-        for k, w in enumerate(model[1]):
-            odds = odds + F.shiftright(x["votes"], k).bitwiseAND(F.lit(1)) * F.lit(w)
-        return x["base"] | (~x["settled"] & (odds >= cutoff))
-
+    stays = lambda x: x["base"] | (~x["settled"] & (model.odds(x) >= cutoff))
     return F.array_distinct(F.transform(F.filter("_pii", stays), lambda x: F.struct(x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e"), x["base"].alias("base"))))
 
 
@@ -191,9 +298,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Null texts stay null; rows without spans stay as they are.
     """
-    scans = cut(scanned(docs.select("text")).select("_pii"))
+    scans = cut(scanned(docs))  # each text is scanned once; the table written holds texts and spans
     kind = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    marked = scanned(docs).withColumn("_pii", accepted(classifier(scans)))
+    marked = scans.withColumn("_pii", accepted(classifier(scans)))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(t: Column, x: Column) -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -66,6 +67,99 @@ def test_long_runs(spark):
     check(pii.find(docs(spark, rows)).collect(), {i: t for i, t, _ in rows})
 
 
+def iban(rng, country="DE", n=22):
+    body = "".join(rng.choice("0123456789") for _ in range(n - 4))
+    check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+    v = f"{country}{check:02d}{body}"
+    return " ".join(v[k : k + 4] for k in range(0, n, 4))
+
+
+def planted(rng):
+    """(kind, sentence with one true span or one look-alike, the value, whether it is true)."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(36))
+    ssn = f"{rng.randint(100, 660)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+    phone = f"({rng.randint(201, 989)}) {rng.randint(201, 989)}-{digits(4)}"
+    good_iban = iban(rng, *rng.choice([("DE", 22), ("FR", 27), ("GB", 22), ("ES", 24)]))
+    return [
+        ("iban", f"please transfer to iban {good_iban} soon", good_iban, True),
+        ("iban", f"part no {(v := f'ZZ{digits(2)} {digits(4)} {digits(4)} {digits(4)}')} in stock", v, False),
+        ("ssn", f"his ssn: {ssn} was leaked", ssn, True),
+        ("ssn", f"invoice 000-{(v := digits(2))}-0000 was paid", f"000-{v}-0000", False),
+        ("phone", f"call me at {phone} tonight", phone, True),
+        ("phone", f"order {(v := f'111 1{digits(2)} {digits(4)}')} has shipped", v, False),
+        ("secret", f'api_key = "{key}" is live', key, True),
+        ("secret", f"see the page {(v := 'some-rather/long_path-of-words-' + digits(1))} for more", v, False),
+        ("email", f"write to {(v := f'joe{digits(3)} [at] mail [dot] com')} for help", v, True),
+    ]
+
+
+def spans_of(spark, cases):
+    rows = [(k, f"word {k} {text} and so on", "a") for k, (_, text, _, _) in enumerate(cases)]
+    got = {r.doc_id: set(r.spans.split(",")) for r in pii.find(docs(spark, rows)).collect()}
+    out = {}
+    for k, (kind, _, v, true) in enumerate(cases):
+        at = rows[k][1].index(v)
+        out.setdefault((kind, true), []).append(f"{kind}:{at}:{at + len(v)}" in got[k])
+    return {k: sum(v) / len(v) for k, v in out.items()}
+
+
+def test_planted_spans_and_look_alikes(spark):
+    rng = random.Random(5)
+    share = spans_of(spark, [c for _ in range(60) for c in planted(rng)])
+    assert all(share[k, True] >= 0.95 for k in ("iban", "ssn", "phone", "secret", "email")), share
+    assert all(share[k, False] <= 0.05 for k in ("iban", "ssn", "phone", "secret")), share
+
+
+def test_a_kind_with_one_candidate_follows_belief(spark):
+    rng = random.Random(6)
+    share = spans_of(spark, planted(rng))
+    assert all(v == k[1] for k, v in share.items()), share
+
+
+def naive(patterns, rounds=12):
+    """reliabilities by plain loops: {rank: (prior, odds)}."""
+    belief = {1: pii.BELIEF["for"], 2: pii.BELIEF["against"]}
+    state = {r: (0.5, [{v: math.log(a / b) for v, (a, b) in belief.items()} for _ in pii.VOTERS]) for r in {r for r, _, _ in patterns}}
+    digit = lambda votes, k: votes // 4**k % 4
+    for _ in range(rounds):
+        new = {}
+        for rank, (prior, odds) in state.items():
+            true, false, voted = 0.0, 0.0, {}
+            for r, votes, n in patterns:
+                if r == rank:
+                    z = math.log(prior / (1 - prior)) + sum(odds[k].get(digit(votes, k), 0.0) for k in range(len(pii.VOTERS)))
+                    p = 1 / (1 + math.exp(-z))
+                    true, false = true + p * n, false + (1 - p) * n
+                    for k in range(len(pii.VOTERS)):
+                        x = voted.setdefault((k, digit(votes, k)), [0.0, 0.0])
+                        x[0] += p * n
+                        x[1] += (1 - p) * n
+            rates = lambda k, v: [(s + 4 * b) / (n + 4) for s, b, n in zip(voted.get((k, v), (0, 0)), belief[v], (true, false))]
+            logs = lambda k, v: math.log(rates(k, v)[0] / rates(k, v)[1])
+            new[rank] = ((true + 2) / (true + false + 4), [{1: max(0, logs(k, 1)), 2: min(0, logs(k, 2))} for k in range(len(pii.VOTERS))])
+        state = new
+    return state
+
+
+def test_reliabilities_match_plain_loops(spark):
+    rng = random.Random(7)
+    patterns = [(rng.choice([0, 4, 5]), sum(rng.choice([0, 0, 1, 2]) * 4**k for k in range(len(pii.VOTERS))), rng.randint(1, 50)) for _ in range(80)]
+    got = pii.reliabilities(spark.createDataFrame(patterns, "rank int, votes int, n long"))
+    for rank, (prior, odds) in naive(patterns).items():
+        assert abs(got.prior[rank] - prior) < 1e-9
+        assert all(abs(got.odds[rank][k][v - 1] - odds[k][v]) < 1e-9 for k in range(len(pii.VOTERS)) for v in (1, 2))
+    assert got.odds[1] == pii.Reliabilities.believed().odds[1]
+
+
+def test_redaction_scans_once(spark, monkeypatch):
+    seen = []
+    scan = pii.scanned
+    monkeypatch.setattr(pii, "scanned", lambda df: seen.append(1) or scan(df))
+    assert pii.redact(docs(spark, [(1, "a@b.cd", "a"), (1, "a@b.cd", "a"), (None, "x", "a")])).count() == 3
+    assert len(seen) == 1
+
+
 def test_redaction(spark):
     rows = [(1, 'é mail x@y.zz, call +1 (613) 555-8758. token = "d79b4bd5ac35c6fd4765f3c195ae8bf92c95a355" end', "a"), (2, "nothing here", "a"), (3, None, "a")]
     rows += [(10 + k, f"mail u{k}@mail{k % 9}.example.com or 4{k} words {k}.{k}.{k}.{k}", "a") for k in range(40)]
