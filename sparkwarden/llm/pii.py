@@ -210,21 +210,23 @@ def vote(votes: Column, k: int) -> Column:
 def reliabilities(patterns: DataFrame, rounds: int = 12) -> Reliabilities:
     """Estimates for each kind from patterns(rank, votes, n), by expectation-maximisation from BELIEF, which weighs as STRENGTH spans of each class.
 
-    A vote for a span never lowers its odds and one against never raises them. Each round is one aggregate to a row a kind.
+    A vote for a span never lowers its odds and one against never raises them. Each round is one aggregate, to a row
+    for each kind, labeler and vote.
     """
+    each = F.array(*(F.struct(F.lit(k).alias("k"), vote(F.col("votes"), k).alias("v")) for k in range(len(VOTERS))))
     now = Reliabilities.believed()
     for _ in range(rounds):
-        p = now.posterior()
-        sides = (p * F.col("n"), (1 - p) * F.col("n"))
-        sums = [F.sum(F.when(vote(F.col("votes"), k) == v, x).otherwise(0.0)) for k in range(len(VOTERS)) for v in (1, 2) for x in sides]
-        new = Reliabilities.believed()
-        for r in patterns.groupBy("rank").agg(*map(F.sum, sides), *sums).collect():
-            rank, true, false, *votes = r
-            new.prior[rank] = (true + STRENGTH / 2) / (true + false + STRENGTH)
+        sided = patterns.withColumn("p", now.posterior()).select("rank", (F.col("p") * F.col("n")).alias("true"), ((1 - F.col("p")) * F.col("n")).alias("false"), F.inline(each))
+        sums: dict[int, dict[tuple[int, int], tuple[float, float]]] = {}
+        for r in sided.groupBy("rank", "k", "v").agg(F.sum("true").alias("t"), F.sum("false").alias("f")).collect():
+            sums.setdefault(r["rank"], {})[r["k"], r["v"]] = (r["t"], r["f"])
+        now = Reliabilities.believed()
+        for rank, voted in sums.items():
+            both = [sum(x[j] for (k, _), x in voted.items() if k == 0) for j in (0, 1)]
+            now.prior[rank] = (both[0] + STRENGTH / 2) / (sum(both) + STRENGTH)
             for k in range(len(VOTERS)):
-                share = [(votes[4 * k + j] + STRENGTH * belief) / (n + STRENGTH) for j, (n, belief) in enumerate(zip((true, false) * 2, (*BELIEF["for"], *BELIEF["against"])))]
-                new.odds[rank][k] = (max(0.0, math.log(share[0] / share[1])), min(0.0, math.log(share[2] / share[3])))
-        now = new
+                share = {v: [(x + STRENGTH * belief) / (n + STRENGTH) for x, belief, n in zip(voted.get((k, v), (0.0, 0.0)), BELIEF[side], both)] for v, side in ((1, "for"), (2, "against"))}
+                now.odds[rank][k] = (max(0.0, math.log(share[1][0] / share[1][1])), min(0.0, math.log(share[2][0] / share[2][1])))
     return now
 
 
