@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
-Lexicon voters (words, and word beginnings of several lengths, that speak for toxicity among all labelled rows) and pattern
-voters mark every document of the corpus. A generative model estimates, by expectation-maximisation over the counts of vote
-patterns, how often each voter fires on either class; voters that depend on each other given the class, by their
+Labels only seed lexicons: words, and word beginnings of several lengths, that speak for toxicity among all labelled rows, dealt out to a
+dozen lexicon voters. With pattern voters they vote on every document of the corpus; a voter says toxic or abstains, and all lexicons abstain
+where their words are too thin in a text to mean anything. A generative model estimates, by expectation-maximisation over the counts of vote patterns and
+without labels, how often each voter fires on either class; voters that depend on each other given the class, by their
 residual correlation, share a joint table. A linear classifier over all words and word beginnings is trained on the
-model's posterior labels and scores each text.
+model's posterior labels alone and scores each text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ BEGINNINGS = (3, 4, 5, 6)
 RANGE = 1 << 18
 #: Feature numbers: words, then beginnings of each length, each in a range of its own; the last one is the constant.
 DIMS = RANGE * (1 + len(BEGINNINGS)) + 1
+#: Telling words are dealt out to so many lexicons; the beginnings of each length are one more.
+WORD_LEXICONS = 8
+LEXICONS = WORD_LEXICONS + len(BEGINNINGS)
+THIN = 150  # lexicons abstain where their words are under one in so many
 #: Pattern voters: a cheap test, then a pattern (None: the test decides).
 PATTERNS = (
     (lambda t: "!" in t, re.compile(r"(?i)\b(?:you|du|tu|vous|ihr|usted)\b[^.!?\n]{0,40}!")),
@@ -49,12 +54,17 @@ def _of_token(token: str) -> tuple[int, ...]:
     return got
 
 
-def features(text: str | None) -> np.ndarray:
-    """Sorted feature numbers of the whole text; a null or empty text has the constant only."""
+def numbers(text: str | None) -> set[int]:
+    """Feature numbers of the whole text; a null or empty text has the constant only."""
     found: set[int] = {DIMS - 1}
     for token in set(TOKEN.findall(text.lower())) if text else ():
         found.update(_of_token(token))
-    return np.array(sorted(found), np.int32)
+    return found
+
+
+def features(text: str | None) -> np.ndarray:
+    """The numbers of a text, sorted."""
+    return np.array(sorted(numbers(text)), np.int32)
 
 
 class Sieve:
@@ -121,7 +131,7 @@ def sign_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         pos, every = np.zeros(DIMS, np.int64), np.zeros(DIMS, np.int64)
         for x in batches:
             for t, toxic in zip(x["text"], x["_toxic"].tolist()):
-                f = features(t)
+                f = np.fromiter(numbers(t), np.int32)
                 every[f] += 1
                 if toxic == 1:
                     pos[f] += 1
@@ -136,32 +146,53 @@ def sign_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pos, every
 
 
+def lexicon_of(numbers: np.ndarray) -> np.ndarray:
+    """The lexicon of each feature number."""
+    group = numbers // RANGE
+    return np.where(group == 0, (numbers * 2654435761 >> 7) % WORD_LEXICONS, WORD_LEXICONS + group - 1)
+
+
 @dataclass
 class Voters:
-    """A bit for each lexicon, one for two or more hits in all, one for each pattern."""
+    """A bit for each lexicon, one for two or more telling words, one for each pattern."""
 
-    lexicons: list[np.ndarray]
-    marks: np.ndarray = field(init=False)
-    sieve: Sieve = field(init=False)
+    marks: np.ndarray  # of each feature: the bit of its lexicon, 0 if in none
+    known: dict[str, int] = field(default_factory=dict, repr=False)
 
-    def __post_init__(self) -> None:
-        self.marks = np.zeros(DIMS, np.uint8)
-        for k, words in enumerate(self.lexicons):
-            self.marks[words] |= 1 << k
-        self.sieve = Sieve(self.marks > 0)
+    @classmethod
+    def of(cls, signs: np.ndarray) -> Voters:
+        """Lexicons from the mask of telling features."""
+        marks, at = np.zeros(DIMS, np.int32), np.flatnonzero(signs)
+        marks[at] = 1 << lexicon_of(at)
+        return cls(marks)
 
     def __len__(self) -> int:
-        return len(self.lexicons) + 1 + len(PATTERNS)
+        return LEXICONS + 1 + len(PATTERNS)
+
+    def _bits(self, token: str) -> int:
+        got = self.known.get(token)
+        if got is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            got = 0
+            for n in _of_token(token):
+                got |= int(self.marks[n])
+            self.known[token] = got
+        return got
 
     def vote(self, text: str | None) -> int:
-        out = words = 0
-        for n in self.sieve(text):
-            out |= int(self.marks[n])
-            words += n < RANGE
-        out |= (words >= 2) << len(self.lexicons)
+        out = words = hits = 0
+        if text:
+            tokens = Counter(TOKEN.findall(text.lower()))
+            for token, n in tokens.items():
+                if bits := self._bits(token):
+                    out |= bits
+                    words += bits & ((1 << WORD_LEXICONS) - 1) > 0
+                    hits += n
+            out = out | (words >= 2) << LEXICONS if hits * THIN >= tokens.total() else 0
         for k, (hint, pattern) in enumerate(PATTERNS):
             if text and hint(text) and (pattern is None or pattern.search(text)):
-                out |= 1 << (len(self.lexicons) + 1 + k)
+                out |= 1 << (LEXICONS + 1 + k)
         return out
 
 
@@ -197,12 +228,13 @@ def _joint(votes: np.ndarray, group: list[int]) -> np.ndarray:
     return sum(((votes >> v) & 1) << k for k, v in enumerate(group))
 
 
-def label_model(counts: dict[int, int], known: dict[int, tuple[int, int]], voters: int, lexicons: int, rounds: int = 40, dependent: float = 0.2, largest: int = 6) -> LabelModel:
-    """Fit the generative model to vote pattern counts, with those of labelled rows, known (clean, toxic), held to their class.
+def label_model(counts: dict[int, int], voters: int, lexicons: int, known: dict[int, tuple[int, int]] | None = None, rounds: int = 40, dependent: float = 0.2, largest: int = 6) -> LabelModel:
+    """Fit the generative model to vote pattern counts; those of rows whose class is given, known (clean, toxic), are held to it.
 
     First all voters count as independent given the class. Pairs whose correlation within a class is above `dependent`
     are then joined, into groups of at most `largest` voters, and the model is fitted again with a joint table for each group.
     """
+    known = known or {}
     votes = np.array(sorted(counts.keys() | known.keys()), np.int64)
     sure = np.array([known.get(v, (0, 0)) for v in votes.tolist()], float).reshape(-1, 2).T
     n = np.maximum(0, np.array([counts.get(v, 0) for v in votes.tolist()], float) - sure.sum(0))
@@ -239,40 +271,37 @@ def label_model(counts: dict[int, int], known: dict[int, tuple[int, int]], voter
     return run(sorted(groups))[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = 12_000, fitted: int = 12_000) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, fitted: int = 24_000) -> np.ndarray:
     """Classifier weights, learnt from labels(doc_id, toxic) and docs(doc_id, text) of the rows where `learn` holds.
 
-    Lexicons come from all labelled rows. labelled bounds the labelled rows that hold the label model to their class and that the
-    classifier is fitted on, fitted its other rows (about so many each, by a hash of the id); the label model counts the
-    votes of all learnable documents.
-    A doc_id with several labels counts as toxic if one says so. Without any toxic label every text scores near 0.
+    Lexicons come from all labelled rows, and the label model counts the votes of all learnable documents. fitted bounds the labelled
+    rows that the classifier is fitted on (about so many different texts, by hashes of id and text); its targets are the model's posteriors, never
+    the labels. A doc_id with several labels counts as toxic if one says so. Without any toxic label every text scores near 0.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic")).where(learn)
-    chosen = hash_sample(known, F.col("doc_id"), labelled, known.count())
+    chosen = hash_sample(known.select("doc_id"), F.col("doc_id"), fitted, known.count())
     pool = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(learn & F.col("doc_id").isNotNull())
     pos, every = sign_counts(pool.join(known.hint("merge"), "doc_id"))  # labels have no bound: a shuffle at every size
     if not pos[-1]:
         w = np.zeros(DIMS)
         w[-1] = -5.0
         return w
-    signs = marked(pos, every, lift=5.0)
-    got = list(dict.fromkeys(sample_rows(pool.join(F.broadcast(chosen), "doc_id"), "_toxic")))  # exact copies count once
-    rows = [np.frombuffer(f, np.int32) for f, _ in got]
-    toxic = np.array([float(t == 1) for _, t in got])
-    voters = Voters([np.flatnonzero(signs[RANGE * k : RANGE * (k + 1)]) + RANGE * k for k in range(1 + len(BEGINNINGS))])
-    counts = count_votes(pool, voters)
+    voters = Voters.of(marked(pos, every, lift=5.0))
+    model = label_model(count_votes(pool, voters), len(voters), LEXICONS)
     sent = docs.sparkSession.sparkContext.broadcast(voters)
 
     @F.pandas_udf("long")
     def votes(texts: pd.Series) -> pd.Series:
         return pd.Series([sent.value.vote(t) for t in texts], dtype="int64")
 
-    seen = Counter({(r["_votes"], r["_toxic"]): r["n"] for r in pool.join(F.broadcast(chosen), "doc_id").withColumn("_votes", votes("text")).groupBy("_votes", "_toxic").agg(F.count("*").alias("n")).collect()})
-    model = label_model(counts, {v: (seen[v, 0], seen[v, 1]) for v, _ in seen}, len(voters), len(voters.lexicons))
-    part = hash_sample(pool, F.col("doc_id"), fitted, sum(counts.values())).withColumn("_votes", votes("text"))
-    soft = sample_rows(part, "_votes")
-    rows += [np.frombuffer(f, np.int32) for f, _ in soft]
-    target = np.concatenate([toxic, model.posterior(np.array([v for _, v in soft], np.int64))])
+    sample = pool.join(F.broadcast(chosen), "doc_id").select("text").distinct()  # exact copies count once
+    sample = hash_sample(sample, F.col("text"), fitted, sample.count())  # ids may repeat
+    got = sample_rows(sample.withColumn("_votes", votes("text")), "_votes")
+    return fitted_weights([np.frombuffer(f, np.int32) for f, _ in got], model.posterior(np.array([v for _, v in got], np.int64)))
+
+
+def fitted_weights(rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    """Weights of the linear classifier from feature rows and their soft labels; only features that speak for toxicity take part."""
     kept = telling(Rows.of(rows), target)
     kept[-1] = True
     place = np.cumsum(kept) - 1

@@ -1,3 +1,7 @@
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +27,64 @@ def test_toxicity_held_out(spark):
     assert p[y == 1].mean() > 0.85 and p[y == 0].mean() < 0.02
 
 
+def test_toxicity_comes_through_the_label_model(spark, monkeypatch):
+    """Without the model's posteriors nothing is learnt: the classifier never sees a label."""
+    monkeypatch.setattr(toxicity.LabelModel, "posterior", lambda self, votes: np.full(len(votes), 0.1))
+    y, p = held_out_results(spark, toxicity, "toxic")
+    assert p.sum() == 0
+
+
+def test_toxicity_scores_by_plain_sums(spark):
+    """score, against the sum of the weights of each text's features."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    w = toxicity.train(table, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), ~toxicity.held_out(F.col("doc_id")))
+    got = {r.doc_id: r.score for r in toxicity.score(table, w).collect()}
+    for r in table.collect():
+        tokens = set(re.findall(r"\w+", (r.text or "").lower()))
+        places = {toxicity.RANGE * k + zlib.crc32(x.encode()) % toxicity.RANGE for t in tokens for k, x in enumerate([t, *(t[:n] if len(t) > n else None for n in (3, 4, 5, 6))]) if x}
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-(w[-1] + sum(w[list(places)])))), abs=1e-5)
+
+
+def test_votes_by_plain_rules():
+    signs = np.zeros(toxicity.DIMS, bool)
+    one, two = (toxicity._of_token(t)[0] for t in ("badword", "worse"))
+    signs[[one, two, toxicity._of_token("nastything")[3]]] = True
+    voters = toxicity.Voters.of(signs)
+    bit = lambda n: 1 << int(toxicity.lexicon_of(np.array([n]))[0])
+    assert voters.vote(None) == voters.vote("") == voters.vote("all is well here") == 0
+    assert voters.vote("a Badword here") == bit(one)
+    assert voters.vote("badword and worse") == bit(one) | bit(two) | 1 << toxicity.LEXICONS
+    assert voters.vote("nastyness") == 1 << (toxicity.WORD_LEXICONS + 2)
+    assert voters.vote("badword " + "fine " * 149) == bit(one) and voters.vote("badword " + "fine " * 150) == 0
+    assert voters.vote("fine!!!") == 1 << (toxicity.LEXICONS + 4)
+    assert len(voters) == 17
+
+
+def test_label_model_matches_plain_loops_with_held_rows():
+    rng = np.random.default_rng(3)
+    counts = {int(v): int(n) for v, n in zip(rng.integers(0, 32, 25), rng.integers(1, 90, 25))}
+    known = {v: (int(rng.integers(0, 5)), int(rng.integers(0, 5))) for v in list(counts)[:8]}
+    model = toxicity.label_model(counts, 5, 3, known, rounds=12, dependent=2)
+    p = {v: 0.7 if v & 7 else 0.02 for v in counts}
+    for _ in range(12):
+        mass = {0: 0.0, 1: 0.0}
+        fires = {(k, c): 0.0 for k in range(5) for c in (0, 1)}
+        for v, n in counts.items():
+            sure = known.get(v, (0, 0))
+            free = max(0, n - sum(sure))
+            for c, w in ((0, free * (1 - p[v]) + sure[0]), (1, free * p[v] + sure[1])):
+                mass[c] += w
+                for k in range(5):
+                    fires[k, c] += w * (v >> k & 1)
+        prior = min(0.9, max(0.002, mass[1] / sum(mass.values())))
+        rate = {x: (n + 0.1) / (mass[x[1]] + 0.2) for x, n in fires.items()}
+        for v in p:
+            z = math.log(prior / (1 - prior)) + sum(math.log((rate[k, 1] if v >> k & 1 else 1 - rate[k, 1]) / (rate[k, 0] if v >> k & 1 else 1 - rate[k, 0])) for k in range(5))
+            p[v] = 1 / (1 + math.exp(-z))
+    assert model.groups == [[k] for k in range(5)] and model.prior == pytest.approx(prior)
+    assert np.allclose(model.posterior(np.array(list(p))), list(p.values()), atol=1e-9)
+
+
 def test_quality_held_out(spark):
     y, p = held_out_results(spark, quality, "quality")
     assert p[y == 1].mean() > 0.98 and p[y == 0].mean() < 0.1
@@ -46,7 +108,7 @@ def test_label_model_finds_reliabilities():
     bits[:, 4] = np.where(rng.random(len(y)) < 0.8, bits[:, 3], bits[:, 4])  # voters 3 and 4 depend on each other
     votes = (bits << np.arange(5)).sum(1)
     values, n = np.unique(votes, return_counts=True)
-    model = toxicity.label_model(dict(zip(values.tolist(), n.tolist())), {}, 5, 3)
+    model = toxicity.label_model(dict(zip(values.tolist(), n.tolist())), 5, 3)
     assert abs(model.prior - 0.2) < 0.06 and any({3, 4} <= set(g) for g in model.groups)
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.9
 
@@ -83,5 +145,5 @@ def test_lexicons_come_from_all_labelled_rows(spark, monkeypatch):
 
     monkeypatch.setattr(toxicity, "count_votes", stop)
     with pytest.raises(Seen) as e:
-        toxicity.train(table, labels, F.lit(True), labelled=50)
-    assert number in e.value.args[0].lexicons[0]
+        toxicity.train(table, labels, F.lit(True), fitted=50)
+    assert e.value.args[0].marks[number]
