@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +78,3 @@ def components(edges: DataFrame) -> DataFrame:
         moved = join_hot(cut(join_hot(edges, a, "a")), b, "b").where("a_to <> b_to")
         edges = cut(moved.select(F.greatest("a_to", "b_to").alias("a"), F.least("a_to", "b_to").alias("b")).distinct())
     return found
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda x, y: x.unionByName(y), frames)
