@@ -1,17 +1,17 @@
-"""SimHash near-duplicates: exact pairs of close fingerprints through shards by blocks of bits.
-
-Routing. In the full 64-bit Hamming metric the shells around a vantage point hold the bulk of
-all fingerprints within a few bits of any boundary, so a cut there prunes nothing. Shards are
-therefore balls in the Hamming metric of blocks of bits: two fingerprints at distance <= radius
-agree wholly on some choice of blocks, so in that block metric they lie at distance 0 from
-the same vantage point (the block's value). Every fingerprint goes to its shard of every choice
-of blocks: these are the overlapping shards that a boundary would need. No pair is lost.
-
-Inside a shard there is no tree: points are sorted by their distance to one pivot, and the triangle
-inequality leaves only those whose distances differ by <= radius; the blocks do nearly all the pruning. Dense groups (near copies by the
-thousand) are flooded: a point that has been reached is never compared again, and only a star of links to
-the shard's smallest member leaves the task. A shard over `chunk` points is cut in chunks and
-each pair of chunks meets in a task of its own.
+"""SimHash near-duplicates: close fingerprints through shards, in each of which vantage-point trees find the pairs.
+
+Inside a shard the tree is built and queried at once: a vantage point cuts the points at a distance r, those within r go
+to one branch, those beyond r - radius to the other, so points in the boundary's overlap meet both sides and, by the triangle inequality, no pair
+is lost. r is where the two branches leave the least work; a branch in which no cut saves a tenth is a leaf, whose points are sorted by their distance
+to one of them and compared up to the triangle bound. Dense groups (near copies by the thousand) are flooded there: a point that
+has been reached is never compared again, and only a star of links leaves the task.
+
+Shards. Random fingerprints of 64 bits lie at 32 +- 4 bits from any vantage point, so a cut by distance with an overlap of 4 bits leaves about 0.73 of
+the points on either side and, level by level, more work than before (`vantage_shards` is that router, kept for comparison; figures are in the README). Shards
+are therefore balls in the metric of blocks of bits: two fingerprints at distance <= radius agree wholly on some choice of blocks, so there they lie at
+distance 0 from the same vantage point (the block's value). Every fingerprint goes to its shard of every choice of blocks. No pair is lost. For
+wide radii no choice of blocks is small enough; there shards are those of as many sampled masks as bring a pair at the radius
+together with the wanted recall. A shard over `chunk` points is cut in chunks and each pair of chunks meets in a task of its own.
 """
 
 from __future__ import annotations
@@ -30,35 +30,55 @@ from sparkwarden.llm.common import components, cut, join_hot
 
 BITS = 64
 STEP = 1 << 15
-
-
-def text_fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """SimHash of one text over its shingles of `width` words; 0 for a text without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+LEAF = 128
+#: Settings for near copies by similarity: 128 bits over shingles of five words.
+COPIES = {"width": 5, "words": 2, "similarity": 0.8}
+
+
+def text_fingerprint(text: str | None, width: int = 4, seed: int = 42, words: int = 1) -> np.ndarray:
+    """SimHash of one text over its shingles of `width` words, in one (XXH64) or two (XXH3) numbers of 64 bits; 0 for a text without words."""
+    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not found:
+        return np.zeros(words, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
-    n = max(1, len(words) - width + 1)
-    last = (ends[len(words) - n :] - 1).tolist()
-    first, digest = starts[:n].tolist(), xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
+    n = max(1, len(found) - width + 1)
+    last = (ends[len(found) - n :] - 1).tolist()
+    first = starts[:n].tolist()
+    ones = np.zeros(BITS * words, np.int64)
     for k in range(0, n, STEP):
-        h = np.fromiter((digest(joined[s:e], seed) for s, e in zip(first[k : k + STEP], last[k : k + STEP])), np.uint64)
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        places = zip(first[k : k + STEP], last[k : k + STEP])
+        if words == 1:
+            digest = xxhash.xxh64_intdigest
+            raw = np.fromiter((digest(joined[s:e], seed) for s, e in places), np.uint64).astype("<u8").view(np.uint8)
+        else:
+            digest = xxhash.xxh3_128_digest
+            raw = np.frombuffer(b"".join(digest(joined[s:e], seed) for s, e in places), np.uint8)
+        ones += np.unpackbits(raw.reshape(-1, 8 * words), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
+
+def names(words: int, prefix: str = "w") -> list[str]:
+    return [f"{prefix}{k}" for k in range(words)]
+
+
+def node(words: list[str]) -> Column:
+    """The number that names a fingerprint: itself, or a hash of its numbers."""
+    return F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) for each row; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, words: int = 1, *extra: str) -> DataFrame:
+    """(doc_id, w0, ..., fp long, *extra) for each row; null and empty texts have fingerprint 0."""
+    own = names(words)
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            fps = np.array([text_fingerprint(t, width, seed) for t in x["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": x["doc_id"], "fp": fps})
+            fps = np.array([text_fingerprint(t, width, seed, words) for t in x["text"]], np.uint64).reshape(-1, words).view(np.int64)
+            yield pd.DataFrame({"doc_id": x["doc_id"], **dict(zip(own, fps.T)), **{c: x[c] for c in extra}})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(prints, "doc_id long, fp long")
+    schema = "".join(f", {c} long" for c in (*own, *extra))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra).mapInPandas(prints, f"doc_id long{schema}").withColumn("fp", node(own))
 
 
 def block_masks(count: int, radius: int, shard: int = 1024) -> list[int]:
@@ -77,114 +97,216 @@ def block_masks(count: int, radius: int, shard: int = 1024) -> list[int]:
     raise AssertionError
 
 
+def differing(similarity: float) -> float:
+    """Chance that a bit of two texts' fingerprints differs, from the Jaccard similarity of their shingles."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Bits that differ at the similarity, and one deviation more."""
+    p = differing(similarity)
+    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def sampled_masks(count: int, bits: int, similarity: float, shard: int = 1024, recall: float = 0.97, seed: int = 7) -> list[int]:
+    """Masks of sampled bits: shards of about `shard` points, and so many that a pair at the similarity meets in one with the given chance."""
+    kept = 0 if count <= 2 * shard else math.ceil(math.log2(count / shard))
+    if not kept:
+        return [0]
+    times = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** kept))
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in rng.choice(bits, kept, replace=False)) for _ in range(times)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of points (rows of 64-bit numbers) that broadcast against each other."""
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for k in range(1, a.shape[-1]):
+        out += np.bitwise_count(a[..., k] ^ b[..., k])
+    return out
+
+
+def boundary(d: np.ndarray, radius: int, least: float = 0.9) -> int | None:
+    """The distance at which a cut leaves the least work in both branches, their overlap included; None if that is no less than `least` of all."""
+    within = np.cumsum(np.bincount(d))
+    beyond = len(d) - np.concatenate((np.zeros(radius, np.int64), within))[: len(within)]  # further than r - radius
+    work = within.astype(float) ** 2 + beyond.astype(float) ** 2
+    best = int(work.argmin())
+    return best if work[best] < least * len(d) ** 2 else None
+
+
+class Links:
+    """Pairs found in a shard, and what it took to find them."""
+
+    def __init__(self, points: np.ndarray, radius: int) -> None:
+        self.points, self.radius, self.compared = points, radius, 0
+        self.a: list[np.ndarray] = []
+        self.b: list[np.ndarray] = []
+
+    def tree(self) -> None:
+        """Cut by vantage points, branch after branch, down to leaves."""
+        todo = [np.arange(len(self.points))]
+        while todo:
+            at = todo.pop()
+            cut_at = None
+            if len(at) > LEAF:
+                d = distances(self.points[at], self.points[at[0]])
+                self.compared += len(at)
+                cut_at = boundary(d, self.radius)
+            if cut_at is None:
+                self.leaf(at)
+            else:
+                todo += [at[d <= cut_at], at[d > cut_at - self.radius]]
+
+    def leaf(self, at: np.ndarray) -> None:
+        ring = distances(self.points[at], self.points[at[:1]])
+        order = at[np.argsort(ring, kind="stable")]
+        ring = np.sort(ring, kind="stable")
+        k = 0
+        while k < len(order):
+            e = min(k + 256, len(order))
+            hi = int(np.searchsorted(ring, ring[e - 1] + self.radius, "right"))
+            hit = self.near(order[k:e], order[k:hi])
+            if hit.sum() <= 64 * (e - k):
+                i, j = np.nonzero(hit)
+                self.a.append(order[k + i])
+                self.b.append(order[k + j])
+                k = e
+                continue
+            dense = k + int(hit.sum(1).argmax())
+            reached = self.flood(order, ring, dense)
+            self.a.append(order[reached])
+            self.b.append(np.full(int(reached.sum()), order[dense]))
+            k -= int(reached[:k].sum())
+            order, ring = order[~reached], ring[~reached]
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        self.compared += len(i) * len(j)
+        return distances(self.points[i][:, None], self.points[j][None]) <= self.radius
+
+    def flood(self, order: np.ndarray, ring: np.ndarray, seed: int) -> np.ndarray:
+        """Mask of all points of a leaf (sorted by their ring) that are reachable from the seed."""
+        reached = np.zeros(len(order), bool)
+        reached[seed] = True
+        front, left = [seed], np.flatnonzero(~reached)
+        while front and len(left):
+            now, front = sorted(front)[:128], sorted(front)[128:]
+            lo, hi = np.searchsorted(ring[left], [ring[now[0]] - self.radius, ring[now[-1]] + self.radius + 1])
+            new = np.zeros(len(left), bool)
+            for s in range(lo, hi, STEP):
+                part = left[s : min(s + STEP, hi)]
+                new[s : s + len(part)] = self.near(order[now], order[part]).any(0)
+            if new.any():
+                reached[left[new]] = True
+                front += left[new].tolist()
+                left = left[~new]
+        return reached
+
+    def roots(self) -> np.ndarray:
+        """For each point the position of its component's smallest one."""
+        root = np.arange(len(self.points))
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.a, self.b))
+        while True:
+            new = root.copy()
+            low = np.minimum(root[a], root[b])
+            for side in (a, b):
+                np.minimum.at(new, root[side], low)
+                np.minimum.at(new, side, low)
+            new = new[new]
+            if (new == root).all():
+                return root
+            root = new
 
 
 def linked(points: np.ndarray, radius: int) -> np.ndarray:
-    """For each of the distinct uint64 points, the position of its component's representative."""
-    ring = np.bitwise_count(points ^ points.min()).astype(np.int16)
-    order = np.argsort(ring, kind="stable")
-    root = np.arange(len(points))
-    a_side: list[np.ndarray] = []
-    b_side: list[np.ndarray] = []
-    k = 0
-    while k < len(order):
-        p, r = points[order], ring[order]
-        e = min(k + 256, len(order))
-        hi = int(np.searchsorted(r, r[e - 1] + radius, "right"))
-        hit = _near(p[k:e], p[k:hi], radius)
-        if hit.sum() <= 64 * (e - k):
-            i, j = np.nonzero(hit)
-            a_side.append(order[k + i])
-            b_side.append(order[k + j])
-            k = e
-            continue
-        dense = k + int(hit.sum(1).argmax())
-        reached = _flood(p, r, dense, radius)
-        root[order[reached]] = order[dense]
-        k -= int(reached[:k].sum())
-        order = order[~reached]
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a_side, b_side))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-def _flood(p: np.ndarray, r: np.ndarray, seed: int, radius: int) -> np.ndarray:
-    """Mask of all points (sorted by shell r) that are reachable from the seed."""
-    reached = np.zeros(len(p), bool)
-    reached[seed] = True
-    front, left = [seed], np.flatnonzero(~reached)
-    while front and len(left):
-        now, front = sorted(front)[:128], sorted(front)[128:]
-        lo, hi = np.searchsorted(r[left], [r[now[0]] - radius, r[now[-1]] + radius + 1])
-        new = np.zeros(len(left), bool)
-        for s in range(lo, hi, STEP):
-            part = left[s : min(s + STEP, hi)]
-            new[s : s + len(part)] = _near(p[now], p[part], radius).any(0)
-        if new.any():
-            reached[left[new]] = True
-            front += left[new].tolist()
-            left = left[~new]
-    return reached
-
-
-def links(prints: DataFrame, radius: int = 4, shard: int = 1024, chunk: int = 2048, most_chunks: int = 64) -> DataFrame:
-    """Edges (a, b) that connect exactly the distinct fingerprints prints(fp) within `radius` bits, directly or over others.
+    """For each of the distinct points (rows of uint64), the position of its component's representative."""
+    found = Links(points, radius)
+    found.tree()
+    return found.roots()
+
+
+def vantage_shards(points: np.ndarray, radius: int, shard: int) -> list[np.ndarray]:
+    """Shards of a router that cuts by distance to vantage points alone, each boundary where both branches are most even: a point in the overlap goes to both."""
+    todo, out = [np.arange(len(points))], []
+    while todo:
+        at = todo.pop()
+        d = distances(points[at], points[at[0]])
+        r = int(np.median(d)) + radius // 2
+        inner, outer = at[d <= r], at[d > r - radius]
+        if len(at) <= shard or max(len(inner), len(outer)) == len(at):
+            out.append(at)
+        else:
+            todo += [inner, outer]
+    return out
+
+
+def links(prints: DataFrame, radius: int = 4, shard: int = 1024, chunk: int = 2048, most_chunks: int = 64, similarity: float | None = None) -> DataFrame:
+    """Edges (a, b) that connect the distinct fingerprints prints(w0, ...) within `radius` bits, directly or over others: exactly those, or with a similarity nearly all.
 
     A hot shard is cut in up to most_chunks chunks; its size only decides in how many tasks it is compared.
     """
-    masks = block_masks(prints.count(), radius, shard)
-    keyed = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)))).alias("s")).select("fp", "s.t", "s.key")
+    own = sorted(c for c in prints.columns if c[0] == "w" and c[1:].isdigit())
+    count = prints.count()
+    masks = block_masks(count, radius, shard) if similarity is None else sampled_masks(count, BITS * len(own), similarity, shard)
+    part = lambda m: [F.col(w).bitwiseAND(F.lit(_signed(m >> BITS * k & (1 << BITS) - 1))) for k, w in enumerate(own)]
+    key = lambda m: part(m)[0] if len(own) == 1 else F.xxhash64(*part(m))
+    keyed = prints.select(*own, F.explode(F.array(*(F.struct(F.lit(t).alias("t"), key(m).alias("key")) for t, m in enumerate(masks)))).alias("s")).select(*own, "s.t", "s.key")
     hot = keyed.groupBy("t", "key").count().where(F.col("count") > chunk).select("t", "key", F.least(F.lit(most_chunks), F.ceil(F.col("count") / chunk)).cast("int").alias("chunks"))
     dealt = keyed.join(hot, ["t", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own: Column = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks = 1 or own <> other")
-    dealt = dealt.select("fp", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(*own), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks = 1 or own <> other")
+    dealt = dealt.select(*own, "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    a, b = names(len(own), "a"), names(len(own), "b")
 
     def star(x: pd.DataFrame) -> pd.DataFrame:
-        points = np.unique(x["fp"].to_numpy().view(np.uint64))
+        points = np.unique(np.stack([x[w].to_numpy() for w in own], 1).view(np.uint64), axis=0)
         to = linked(points, radius)
         moved = np.flatnonzero(to != np.arange(len(points)))
-        return pd.DataFrame({"a": points[moved].view(np.int64), "b": points[to[moved]].view(np.int64)})
+        ends = [points[at].view(np.int64).T for at in (moved, to[moved])]
+        return pd.DataFrame({c: v for columns, values in zip((a, b), ends) for c, v in zip(columns, values)})
 
-    return dealt.groupBy("t", "key", "i", "j").applyInPandas(star, "a long, b long")
+    found = dealt.groupBy("t", "key", "i", "j").applyInPandas(star, ", ".join(f"{c} long" for c in (*a, *b)))
+    return found.select(node(a).alias("a"), node(b).alias("b"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, fingerprint (hex), component_id (smallest doc_id reachable).
-
-    Null, empty and blank texts have fingerprint zero and link like any other. Repeated doc_ids give
-    repeated rows; a null doc_id is never a component_id unless the whole component has none. Other columns are ignored.
-    """
-    prints = cut(fingerprints(docs, width, seed))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+def grouped(prints: DataFrame, words: int, radius: int, similarity: float | None) -> DataFrame:
+    """prints(doc_id, w0, ..., fp, ...) with component_id."""
+    nodes = cut(prints.groupBy("fp", *names(words)).agg(F.min("doc_id").alias("rep")))
+    roots = components(links(nodes.select(*names(words)), radius, similarity=similarity)).withColumnRenamed("node", "fp")
     placed = cut(nodes.join(roots, "fp"))
     least = placed.groupBy("root").agg(F.min("rep").alias("low"))
     inside = join_hot(placed.select("fp", "root"), least, "root").select("fp", "low")
     named = cut(nodes.join(inside, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id")))
-    return join_hot(prints, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_hot(prints, named, "fp")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, words: int = 1, similarity: float | None = None) -> DataFrame:
+    """One row for each row of docs(doc_id, text): doc_id, fingerprint (hex), component_id (smallest doc_id reachable).
+
+    Fingerprints link within `radius` bits, or within those of a Jaccard similarity if one is given (see COPIES). Null, empty and blank texts have
+    fingerprint zero and link like any other. Repeated doc_ids give repeated rows; a null doc_id is never a component_id unless the whole
+    component has none. Other columns are ignored.
+    """
+    prints = cut(fingerprints(docs, width, seed, words))
+    found = grouped(prints, words, radius_of(similarity, BITS * words) if similarity else radius, similarity)
+    shown = F.concat(*(F.lower(F.lpad(F.hex(w), 16, "0")) for w in names(words)))
+    return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest doc_id stays (of repeated ids, one row).
+def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, words: int = 1, similarity: float | None = None) -> DataFrame:
+    """The documents without near copies: of each component a row with the smallest doc_id stays.
 
-    Rows with a null doc_id stay, since no component can name them.
+    Rows of one doc_id with different texts are told apart by a hash of the text: each goes or stays with its own component, and of
+    several in one component one stays. Rows with a null doc_id stay, since no component can name them.
     """
-    found = near_duplicates(docs, width, radius)
-    kept = found.where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    key = F.xxhash64(F.col("text").cast("string"))
+    prints = cut(fingerprints(docs.withColumn("_key", key).where("doc_id is not null"), width, seed, words, "_key"))
+    found = grouped(prints, words, radius_of(similarity, BITS * words) if similarity else radius, similarity)
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id"), "component_id").agg(F.min("_key").alias("_k")).drop("component_id")
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_k"))
+    rows = docs.withColumn("_key", key).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return rows.unionByName(docs.where("doc_id is null"))

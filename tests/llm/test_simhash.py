@@ -56,7 +56,7 @@ def test_shards_lose_no_link(spark):
     fps = dict(enumerate(sorted(fps)))
     want = classes(fps)
     signed = {i: int(np.uint64(v).astype(np.int64)) for i, v in fps.items()}
-    df = spark.createDataFrame([(v,) for v in signed.values()], "fp long")
+    df = spark.createDataFrame([(v,) for v in signed.values()], "w0 long")
     for shard, chunk in ((4, 16), (64, 50), (1024, 300)):
         edges = simhash.links(df, shard=shard, chunk=chunk)
         roots = {r.node: r.root for r in simhash.components(edges).collect()}
@@ -66,6 +66,96 @@ def test_shards_lose_no_link(spark):
         assert {i: min(g) for g in groups.values() for i in g} == want
 
 
+def tree_points(rng, words=1):
+    """Random points, chains and dense groups, as distinct rows of uint64."""
+    points = {rng.getrandbits(64 * words) for _ in range(700)}
+    for size in (3, 40, 600):
+        at = rng.getrandbits(64 * words)
+        for _ in range(size):
+            points.add(at)
+            for b in rng.sample(range(64 * words), rng.randint(1, 3)):
+                at ^= 1 << b
+    centre = rng.getrandbits(64 * words)
+    points |= {centre ^ 1 << a ^ 1 << b for a in range(8) for b in range(64)}
+    rows = sorted(points)
+    rng.shuffle(rows)
+    return rows, np.array([[v >> 64 * k & 2**64 - 1 for k in range(words)] for v in rows], np.uint64)
+
+
+def test_trees_find_all_components():
+    for seed, words, radius in ((1, 1, 4), (2, 1, 2), (3, 2, 9), (4, 1, 0)):
+        rows, points = tree_points(random.Random(seed), words)
+        want = classes(dict(enumerate(rows)), radius)
+        assert {k: int(r) for k, r in enumerate(simhash.linked(points, radius))} == want
+
+
+def test_a_tree_cuts_where_it_saves_work():
+    """Clusters far apart fall into branches; random points do not."""
+    rng = random.Random(8)
+    clusters = np.array([[c ^ 1 << a ^ 1 << b] for c in (rng.getrandbits(64) for _ in range(12)) for a in range(10) for b in range(20, 40)], np.uint64)
+    found = simhash.Links(np.unique(clusters, axis=0), 4)
+    found.tree()
+    n = len(found.points)
+    assert found.compared < 0.3 * n * n / 2
+    loose = np.array([[rng.getrandbits(64)] for _ in range(2000)], np.uint64)
+    assert simhash.boundary(simhash.distances(loose, loose[0]), 4) is None
+
+
+def test_vantage_shards_lose_no_pair():
+    rows, points = tree_points(random.Random(9))
+    shards = simhash.vantage_shards(points, 4, 200)
+    assert set(np.concatenate(shards).tolist()) == set(range(len(rows)))
+    together = [set(s.tolist()) for s in shards]
+    near = np.argwhere(np.triu(simhash.distances(points[:, None], points[None]) <= 4, 1))
+    assert all(any(i in s and j in s for s in together) for i, j in near.tolist())
+
+
+def test_near_copies_by_similarity(spark):
+    """Copies with a few words changed are found from a similarity of 0.8; texts that share half of their shingles or less are left alone."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    rows, pairs = [], []
+    for k in range(400):
+        text = [word() for _ in range(rng.randint(80, 300))]
+        other = list(text)
+        for at in rng.sample(range(len(text)), rng.randint(0, max(1, len(text) // rng.choice([8, 20, 40])))):
+            other[at] = word()
+        a, b = shingles(text), shingles(other)
+        pairs.append((2 * k, 2 * k + 1, len(a & b) / len(a | b)))
+        rows += [(2 * k, " ".join(text), "a"), (2 * k + 1, " ".join(other), "a")]
+    for k in range(100):  # half of the text is a passage that another text holds too
+        passage = [word() for _ in range(60)]
+        for j in (0, 1):
+            rows.append((1000 + 2 * k + j, " ".join([word() for _ in range(45)] + passage + [word() for _ in range(45)]), "a"))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, rows), **simhash.COPIES).collect()}
+    found = lambda lo, hi: np.mean([got[a] == got[b] for a, b, s in pairs if lo <= s < hi])
+    assert found(0.8, 0.85) > 0.7 and found(0.85, 0.9) > 0.9 and found(0.9, 1.01) > 0.98
+    assert found(0, 0.6) < 0.1
+    assert all(got[i] == i for i, _, _ in rows if i >= 1000)
+    assert len({got[i] for i, _, _ in rows}) == len({min(i, got[i]) for i, _, _ in rows})
+
+
+def test_sampled_masks_bring_pairs_together():
+    rng = random.Random(4)
+    for count in (5_000, 10**6):
+        masks = simhash.sampled_masks(count, 128, 0.8)
+        p = simhash.differing(0.8)
+        met = 0
+        for _ in range(400):
+            diff = sum(1 << b for b in range(128) if rng.random() < p)
+            met += any(not diff & m for m in masks)
+        assert met > 0.93 * 400
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows of one id with different texts each follow their own component; identical rows become one."""
+    a, b = "one two three four five six seven eight", "other words make up this second text here"
+    rows = [(5, a, "a"), (5, b, "a"), (5, b, "a"), (3, a, "b"), (None, a, "c"), (None, a, "c"), (9, None, "a"), (8, "", "a")]
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.keep_one(docs(spark, rows), **simhash.COPIES).collect())
+    assert kept == [(False, 3, a), (False, 5, b), (False, 8, ""), (True, 0, a), (True, 0, a)]
+
+
 def test_masks_cover_every_choice_of_differing_bits():
     rng = random.Random(1)
     for count in (10, 5_000, 10**6, 10**8, 10**11):
