@@ -1,62 +1,5 @@
-"""The corpus pipeline: language ID, near-dedup, PII, mixing, byte-level BPE, each over all that the stage before kept."""
+"""The corpus pipeline; its stages are in sparkwarden.llm.pipeline."""
 
-from __future__ import annotations
+from sparkwarden.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from pyspark.sql import functions as F
-
-from sparkwarden.llm import bpe, language, mixing, pii, simhash
-from sparkwarden.llm.common import shared_folder
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are near no language's centroids go; the others take the predicted language."""
-    model = language.train(docs, ~language.held_out(F.col("doc_id")))
-    found = language.identify(docs, model).where("not lang_rejected")
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs).select(*docs.columns)
-
-
-def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data gives way to its kind."""
-    return pii.redact(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, pass by pass."""
-    return mixing.mixed_texts(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with digests."""
-    return bpe.token_digests(docs, ids=True)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("near_dedup", near_dedup),
-    ("pii", remove_pii),
-    ("mixing", mix_sources),
-    ("bpe", encode),
-]
-
-#: SQL can express neither SimHash components nor byte-pair merges.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
