@@ -28,7 +28,7 @@ def trust_key(netloc: Column) -> Column:
 def score(visits: DataFrame, model: Callable[[DataFrame], DataFrame], trusted: tuple[str, ...] = TRUSTED, netloc: Column | None = None) -> DataFrame:
     """visits with prediction, probability and whitelisted; only hosts that aren't trusted go through `model`."""
     host = netloc if netloc is not None else F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)
-    known = trust_key(host).isin(*trusted)
+    known = F.coalesce(trust_key(host).isin(*trusted), F.lit(False))  # a null URL is not trusted
     passed = visits.where(known).withColumns({"prediction": F.lit(0), "probability": F.lit(1.0), "whitelisted": F.lit(True)})
     judged = model(visits.where(~known)).withColumn("whitelisted", F.lit(False))
     return passed.unionByName(judged.select(*passed.columns))

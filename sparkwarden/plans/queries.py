@@ -39,7 +39,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared(spark: SparkSession) -> str:
     """A new folder that all executors see."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkwarden-")
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="sparkwarden-")
     return f"{base}/{uuid.uuid4()}"
 
 
@@ -179,7 +184,6 @@ def split_counts(spark, sf_dir):
 
 _MATRIX_SQL = _sql({k: CELLS[k] for k in MATRIX})
 _STATE = "SELECT '{c}' AS feature, avg(CAST({c} AS DOUBLE)) AS mean, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS scale FROM m"
-_FITTED = ("url_length", "count_dots", "count_ats", "letter_count", "path_depth", "domain_token_count", "bank_min_distance")
 
 
 @registered(f"WITH m AS ({_MATRIX_SQL}) SELECT feature, round(mean, 6) AS mean, round(scale, 6) AS scale FROM ({' UNION ALL '.join(_STATE.format(c=c) for c in MATRIX)})")
@@ -187,11 +191,11 @@ def scaler_fit(spark, sf_dir):
     return rounded(matrix.fitted_scaler(matrix.aligned(some(spark, sf_dir, *MATRIX))))
 
 
-@registered(f"WITH m AS ({_MATRIX_SQL}) SELECT page_id, {', '.join(f'round(({c} - avg({c}) OVER ()) / (CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 ELSE stddev_pop({c}) OVER () END), 6) + 0.0 AS {c}' for c in _FITTED)} FROM m")
+@registered(f"WITH m AS ({_MATRIX_SQL}) SELECT page_id, {', '.join(f'round(({c} - avg({c}) OVER ()) / (CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 ELSE stddev_pop({c}) OVER () END), 6) + 0.0 AS {c}' for c in MATRIX)} FROM m")
 def scaler_apply(spark, sf_dir):
-    m = matrix.aligned(some(spark, sf_dir, *_FITTED), keep=("page_id",), names=_FITTED)
-    out = rounded(matrix.scaled(m, matrix.fitted_scaler(m, _FITTED), keep=("page_id",)))
-    return out.select("page_id", *((F.col(c) + F.lit(0.0)).alias(c) for c in _FITTED))
+    m = matrix.aligned(some(spark, sf_dir, *MATRIX), keep=("page_id",))
+    out = rounded(matrix.scaled(m, matrix.fitted_scaler(m, MATRIX), keep=("page_id",)))
+    return out.select("page_id", *((F.col(c) + F.lit(0.0)).alias(c) for c in MATRIX))
 
 
 @registered(f"WITH m AS ({_MATRIX_SQL}) SELECT page_id, CAST(url_length AS DOUBLE) AS url_length, 0.0::DOUBLE AS absent, CAST(count_dots AS DOUBLE) AS count_dots FROM m")
@@ -223,10 +227,12 @@ def stand_in(df: DataFrame) -> DataFrame:
     return threshold_votes(df).select(*df.columns, _voted().alias("prediction"), F.lit(-1.0).alias("probability"))
 
 
-NET = ("example.net",)
+#: Hosts of the tables that stand in for trusted ones.
+NET = ("blog.tionsh.example.net", "blog.tionsh.example.com", "thther.example.org", "tionble.example.org")
+_NET = f"regexp_replace(d, '^www\\.', '') IN {NET}"
 
 
-@registered(f"{_VOTES} SELECT page_id, regexp_replace(d, '^www\\.', '') = 'example.net' AS whitelisted FROM v")
+@registered(f"{_VOTES} SELECT page_id, {_NET} AS whitelisted FROM v")
 def whitelist_split(spark, sf_dir):
     return scoring.score(pages(spark, sf_dir), stand_in, NET).select("page_id", "whitelisted")
 
@@ -237,18 +243,18 @@ def verdict_message(spark, sf_dir):
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as completed page loads: event_id modulo the number of pages names the page."""
+    """Events as page loads, six of seven of them complete: event_id modulo the number of pages names the page."""
     p = pages(spark, sf_dir)
-    e = read(spark, sf_dir, "events").select("event_id", "ts", F.lit("complete").alias("status"), (F.col("event_id") % p.count()).alias("page_id"))
+    e = read(spark, sf_dir, "events").select("event_id", "ts", F.when(F.col("event_id") % 7 == 0, "loading").otherwise("complete").alias("status"), (F.col("event_id") % p.count()).alias("page_id"))
     return scoring.completed(e.join(p, "page_id"))
 
 
-@registered(f"{_VOTES}, r AS (SELECT event_id, v.*, regexp_replace(d, '^www\\.', '') = 'example.net' AS whitelisted FROM events JOIN v ON event_id % (SELECT count(*) FROM pages) = page_id) SELECT event_id, url, CASE WHEN whitelisted THEN 0 ELSE {_PRED} END AS prediction, CASE WHEN whitelisted THEN 1.0 ELSE -1.0 END::DOUBLE AS probability, whitelisted FROM r")
+@registered(f"{_VOTES}, r AS (SELECT event_id, v.*, {_NET} AS whitelisted FROM events JOIN v ON event_id % (SELECT count(*) FROM pages) = page_id WHERE event_id % 7 <> 0) SELECT event_id, url, CASE WHEN whitelisted THEN 0 ELSE {_PRED} END AS prediction, CASE WHEN whitelisted THEN 1.0 ELSE -1.0 END::DOUBLE AS probability, whitelisted FROM r")
 def visit_scores(spark, sf_dir):
     return scoring.score(visits(spark, sf_dir), stand_in, NET).select("event_id", "url", "prediction", "probability", "whitelisted")
 
 
-@registered(f"{_VOTES}, r AS (SELECT event_id, v.*, ts FROM events JOIN v ON event_id % (SELECT count(*) FROM pages) = page_id WHERE regexp_replace(d, '^www\\.', '') <> 'example.net') SELECT url, {_PRED} AS prediction, (-1.0)::DOUBLE AS probability, 'urlset_ensemble' AS model_type, ts AS timestamp FROM r")
+@registered(f"{_VOTES}, r AS (SELECT event_id, v.*, ts FROM events JOIN v ON event_id % (SELECT count(*) FROM pages) = page_id WHERE event_id % 7 <> 0 AND NOT {_NET}) SELECT url, {_PRED} AS prediction, (-1.0)::DOUBLE AS probability, 'urlset_ensemble' AS model_type, ts AS timestamp FROM r")
 def prediction_log(spark, sf_dir):
     return scoring.prediction_log(scoring.score(visits(spark, sf_dir), stand_in, NET), F.col("ts"))
 
@@ -341,7 +347,7 @@ def predict_ensemble(spark, sf_dir):
     return ensemble.predict(matrix.scaled(m, state, keep=("page_id",))).select("page_id", "prediction", "probability")
 
 
-@registered()
+@registered(ORACLE_SQL["visit_scores"])
 def stream_scores(spark, sf_dir):
     """visit_scores as a stream over all visits."""
     from sparkwarden.streaming import jobs
@@ -349,19 +355,22 @@ def stream_scores(spark, sf_dir):
     folder = shared(spark)
     visits(spark, sf_dir).write.parquet(f"{folder}/in")
     stream = jobs.read_parquet_stream(spark, f"{folder}/in", "*.parquet")
-    jobs.score_stream(stream, stand_in, f"{folder}/out", f"{folder}/state", f"{folder}/log", once=True).awaitTermination()
+    jobs.score_stream(stream, stand_in, f"{folder}/out", f"{folder}/state", f"{folder}/log", once=True, trusted=NET).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("event_id", "url", "prediction", "probability", "whitelisted")
 
 
-@registered()
+@registered(f"""WITH {_MATCH}, c AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase'), k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = m.id AND c.ts <= m.click_ts AND c.ts >= m.shown_ts))
+SELECT shown_id, id, 'http://example.com/' AS url, CAST(button <> 0 AS INT) AS reported_label, click_ts AS timestamp FROM k QUALIFY row_number() OVER (PARTITION BY shown_id ORDER BY click_ts, button) = 1""")
 def stream_feedback(spark, sf_dir):
-    """Feedback of the first click that arrives for each notification, as a stream."""
+    """Feedback of the first click on each live notification that no close came before, as a stream."""
     from sparkwarden.streaming import jobs
 
     folder = shared(spark)
-    for name, df in zip(("shown", "clicks"), shown_and_clicks(spark, sf_dir)):
-        df = df.withColumns({c: F.col(c).cast("timestamp") for c in df.columns if c.endswith("_ts")})
+    closes = read(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("id"), F.col("ts").alias("close_ts"))
+    frames = dict(zip(("shown", "clicks", "closes"), (*shown_and_clicks(spark, sf_dir), closes)))
+    kind = read(spark, sf_dir, "events").schema["ts"].dataType
+    for name, df in frames.items():
         df.write.parquet(f"{folder}/{name}")
-    shown, clicks = (jobs.read_parquet_stream(spark, f"{folder}/{n}", "*.parquet") for n in ("shown", "clicks"))
-    jobs.feedback_stream(shown, clicks, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("shown_id", "id", "url", "reported_label", "timestamp")
+    streams = [jobs.read_parquet_stream(spark, f"{folder}/{n}", "*.parquet") for n in frames]
+    jobs.feedback_stream(*streams, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").withColumn("timestamp", F.col("timestamp").cast(kind))

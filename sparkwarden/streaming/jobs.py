@@ -2,38 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkwarden.operators import scoring
 
+#: Kinds of events, in the order in which those of one time count.
+SHOWN, CLOSE, CLICK = 0, 1, 2
+LIFE = 5 * 60 * 1_000_000  # microseconds that a notification lives
 
-def score_stream(visits: DataFrame, model: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, log: str | None = None, once: bool = False) -> StreamingQuery:
-    """Score completed visits (url, status, ...) as they arrive; each batch appends verdicts, and its untrusted part to the log."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        scored = scoring.message(scoring.score(scoring.completed(df), model)).persist()
-        scored.write.mode("append").parquet(out)
+def score_stream(visits: DataFrame, model: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, log: str | None = None, once: bool = False, trusted: tuple[str, ...] = scoring.TRUSTED) -> StreamingQuery:
+    """Score completed visits (url, status, ...) as they arrive; each batch writes its verdicts, and its untrusted part to the log.
+
+    Folders are by batch (`batch=<number>`), and a batch that is tried again overwrites its own, so nothing is written twice.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        scored = scoring.message(scoring.score(scoring.completed(df), model, trusted)).persist()
+        scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
         if log:
-            scoring.prediction_log(scored).write.mode("append").parquet(log)
+            scoring.prediction_log(scored).write.mode("overwrite").parquet(f"{log}/batch={number}")
         scored.unpersist()
 
     writer = visits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def feedback_stream(shown: DataFrame, clicks: DataFrame, out: str, checkpoint: str, late: str = "1 minute", once: bool = False) -> StreamingQuery:
-    """Join notifications (shown_id, id, shown_ts, url) with clicks (id, click_ts, button) within five minutes; append the feedback of each one's first match to arrive.
+_FEEDBACK = "shown_id long, id long, url string, reported_label int, timestamp timestamp"
+#: Live notifications of an id: number, time, URL.
+_OPEN = "shown_id array<long>, shown_ts array<long>, url array<string>"
+
+
+def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One id's events in the order of their time: a notification opens, a close ends what is open, a click reports on all that is open and ends it."""
+    live = list(zip(*state.get)) if state.exists else []
+    rows = pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame()
+    said = []
+    for r in rows.sort_values(["ts", "kind", "button", "shown_id"]).itertuples(index=False) if len(rows) else ():
+        at = r.ts.value // 1000
+        live = [x for x in live if at < x[1] + LIFE]
+        if r.kind == SHOWN:
+            live.append((int(r.shown_id), at, r.url))
+        else:
+            if r.kind == CLICK:
+                said += [(x[0], key[0], x[2], 0 if r.button == 0 else 1, r.ts) for x in live if x[1] <= at]
+            live = [x for x in live if x[1] > at]
+    now = state.getCurrentWatermarkMs() * 1000
+    live = [x for x in live if x[1] + LIFE > now]
+    if live:
+        state.update(tuple(list(c) for c in zip(*live)))
+        state.setTimeoutTimestamp(max(x[1] + LIFE for x in live) // 1000 + 1)
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame(said, columns=["shown_id", "id", "url", "reported_label", "timestamp"])
+
+
+def feedback_stream(shown: DataFrame, clicks: DataFrame, closes: DataFrame, out: str, checkpoint: str, late: str = "1 minute", once: bool = False) -> StreamingQuery:
+    """Feedback on notifications (shown_id, id, shown_ts, url) from clicks (id, click_ts, button) and closes (id, close_ts): one stateful operator.
 
-    A notification's watermark lags by its life, so that it is remembered until no click on it can come.
+    The first click within five minutes reports, once; a close before it (or at its time) voids it. Events of a batch go by time, batches as they
+    arrive; what is open is forgotten when the watermark passes its five minutes. Rows without id or time are left out.
     """
-    live = scoring.clicks_on_live(shown.withWatermark("shown_ts", f"{scoring.ALIVE} {late}"), clicks.withWatermark("click_ts", late))
-    # the time of the deduplication is that of the notification; click_ts goes on as a plain column
-    matched = live.select("shown_id", "id", "url", "button", "shown_ts", F.struct("click_ts").alias("_at")).dropDuplicatesWithinWatermark(["shown_id"])
-    records = matched.select("shown_id", "id", "url", scoring.button_label(F.col("button")).alias("reported_label"), F.col("_at.click_ts").alias("timestamp"))
+    none = lambda t: F.lit(None).cast(t)
+    event = lambda df, ts, kind, number, url, button: df.select("id", F.col(ts).cast("timestamp").alias("ts"), F.lit(kind).alias("kind"), number.alias("shown_id"), url.alias("url"), button.alias("button"))
+    opened = event(shown, "shown_ts", SHOWN, F.col("shown_id"), F.col("url"), none("int"))
+    ended = event(closes, "close_ts", CLOSE, none("long"), none("string"), none("int"))
+    clicked = event(clicks, "click_ts", CLICK, none("long"), none("string"), F.col("button").cast("int"))
+    events = opened.unionByName(ended).unionByName(clicked).where("id is not null and ts is not null").withWatermark("ts", late)
+    records = events.groupBy("id").applyInPandasWithState(_follow, _FEEDBACK, _OPEN, "append", "EventTimeTimeout")
     writer = records.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 

@@ -1,29 +1,49 @@
 from pyspark.sql import functions as F
 
-from sparkwarden.plans.queries import QUERIES, shown_and_clicks
+from sparkwarden.plans.queries import QUERIES
 from sparkwarden.streaming import jobs
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
-def test_every_notification_gets_its_feedback(spark):
+def test_the_stream_equals_the_batch_chain(spark):
+    """First clicks of feedback_unless_closed, row by row, on a table with closed and reported notifications."""
     got = QUERIES["stream_feedback"](spark, SF).collect()
-    matches = QUERIES["feedback_join_5min"](spark, SF).collect()
-    assert matches and sorted(r.shown_id for r in got) == sorted({r.shown_id for r in matches})
-    _, clicks = shown_and_clicks(spark, SF)
-    at = {r.click_id: (r.id, r.ts, int(r.button != 0)) for r in clicks.select("click_id", "id", F.col("click_ts").cast("timestamp").alias("ts"), "button").collect()}
-    possible = {(r.shown_id, *at[r.click_id]) for r in matches}
-    assert all((r.shown_id, r.id, r.timestamp, r.reported_label) in possible for r in got)
-
-
-def test_a_click_before_and_clicks_over_batches(spark, tmp_path):
-    """One user, three notifications: an early click outside of all, two clicks on the first one in different batches, one click on the second."""
-    shown = "values (1L, 7L, timestamp'2024-01-01 00:10:00', 'u'), (2L, 7L, timestamp'2024-01-01 01:00:00', 'u'), (3L, 7L, timestamp'2024-01-01 03:00:00', 'u')"
-    clicks = ("(7L, timestamp'2024-01-01 00:00:00', 1), (7L, timestamp'2024-01-01 00:10:30', 0)", "(7L, timestamp'2024-01-01 00:14:30', 1), (7L, timestamp'2024-01-01 01:02:00', 1)")
-    spark.sql(f"select * from {shown} as t(shown_id, id, shown_ts, url)").write.parquet(f"{tmp_path}/shown")
-    for rows in clicks:
-        spark.sql(f"select * from values {rows} as t(id, click_ts, button)").coalesce(1).write.mode("append").parquet(f"{tmp_path}/clicks")
-        s, c = (jobs.read_parquet_stream(spark, f"{tmp_path}/{n}", "*.parquet") for n in ("shown", "clicks"))
-        jobs.feedback_stream(s, c, f"{tmp_path}/out", f"{tmp_path}/state", once=True).awaitTermination()
+    first = {r.shown_id for r in QUERIES["feedback_first_click"](spark, SF).collect()}
+    open_ = {r.shown_id for r in QUERIES["feedback_unless_closed"](spark, SF).collect()}
+    assert len(got) == len({r.shown_id for r in got}) and {r.shown_id for r in got} == open_ <= first
+    assert len(got) > 10
+
+
+def test_batches_closes_and_late_clicks(spark, tmp_path):
+    """Over three batches: a click before anything, two clicks on one notification, a close before a click, a click after five minutes, one of no id."""
+    shown = "values (1L, 7L, timestamp'2024-01-01 00:10:00', 'u'), (2L, 7L, timestamp'2024-01-01 01:00:00', 'u'), (3L, 8L, timestamp'2024-01-01 01:00:00', 'v'), (4L, 9L, timestamp'2024-01-01 01:00:00', 'w'), (5L, null, timestamp'2024-01-01 01:00:00', 'x')"
+    spark.sql(f"select * from {shown} as t(shown_id, id, shown_ts, url)").coalesce(1).write.parquet(f"{tmp_path}/shown")
+    batches = [
+        ("(7L, timestamp'2024-01-01 00:00:00', 1), (7L, timestamp'2024-01-01 00:10:30', 0)", "(1L, timestamp'2024-01-01 00:00:00')"),
+        ("(7L, timestamp'2024-01-01 01:02:00', 1), (7L, timestamp'2024-01-01 01:03:00', 0)", "(8L, timestamp'2024-01-01 01:00:30')"),
+        ("(8L, timestamp'2024-01-01 01:01:30', 1), (9L, timestamp'2024-01-01 01:05:00', 1), (null, timestamp'2024-01-01 01:01:00', 1)", "(9L, timestamp'2024-01-01 02:00:00')"),
+    ]
+    for clicks, closes in batches:
+        spark.sql(f"select * from values {clicks} as t(id, click_ts, button)").coalesce(1).write.mode("append").parquet(f"{tmp_path}/clicks")
+        spark.sql(f"select * from values {closes} as t(id, close_ts)").coalesce(1).write.mode("append").parquet(f"{tmp_path}/closes")
+        streams = [jobs.read_parquet_stream(spark, f"{tmp_path}/{n}", "*.parquet") for n in ("shown", "clicks", "closes")]
+        jobs.feedback_stream(*streams, f"{tmp_path}/out", f"{tmp_path}/state", late="2 hours", once=True).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.shown_id, r.id, r.url, r.reported_label) for r in got) == [(1, 7, "u", 0), (2, 7, "u", 1)]
+
+
+def test_a_repeated_batch_writes_once(spark, tmp_path):
+    """score_stream's batches overwrite their own folder, keep null URLs on the model's side, and take a trusted list."""
+    from sparkwarden.operators import scoring
+
+    rows = "values ('http://a.b/x', 'complete'), ('http://www.trust.me/', 'complete'), ('http://a.b/y', 'loading')"
+    spark.sql(f"select * from {rows} as t(url, status)").coalesce(1).write.parquet(f"{tmp_path}/in")
+    model = lambda df: df.withColumns({"prediction": F.lit(1), "probability": F.lit(-1.0)})
+    for state in ("one", "two"):  # a fresh state replays the batch
+        jobs.score_stream(jobs.read_parquet_stream(spark, f"{tmp_path}/in", "*.parquet"), model, f"{tmp_path}/out", f"{tmp_path}/{state}", f"{tmp_path}/log", once=True, trusted=("trust.me",)).awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").collect()
-    assert sorted((r.shown_id, r.reported_label) for r in got) == [(1, 0), (2, 1)]
+    assert sorted((r.url, r.prediction, r.whitelisted) for r in got) == [("http://a.b/x", 1, False), ("http://www.trust.me/", 0, True)]
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 1
+    nulls = spark.sql("select cast(null as string) as url, 'complete' as status")
+    assert [r.whitelisted for r in scoring.score(nulls, model).collect()] == [False]
