@@ -327,20 +327,22 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def train_ensemble(spark, sf_dir):
     """Fit on the train side, evaluate on the test side: (y, pred_0, pred_1)."""
-    data = _training(spark, sf_dir).persist()
-    state = matrix.fitted_scaler(data.where("split = 'train'"))
-    ready = matrix.scaled(data, state, keep=("page_id", "label", "split"))
-    ensemble = models.fit(ready.where("split = 'train'"))
-    out = ensemble.predict(ready.where("split = 'test'"))
+    folder = shared(spark)
+    models.save_split(_training(spark, sf_dir), folder)
+    train, test, _ = models.load_split(spark, folder)
+    state = matrix.fitted_scaler(train)
+    ensemble = models.fit(matrix.scaled(train, state, keep=("label",)))
+    out = ensemble.predict(matrix.scaled(test, state, keep=("page_id", "label")))
     return models.confusion(out.select(F.col("label").alias("y"), F.col("prediction").alias("pred")))
 
 
 @registered()
 def predict_ensemble(spark, sf_dir):
     """Fit, save, load again, and score every page."""
-    data = _training(spark, sf_dir)
-    state = matrix.fitted_scaler(data)
     folder = shared(spark)
+    _training(spark, sf_dir).write.parquet(f"{folder}/matrix")  # the fit reads it many times
+    data = spark.read.parquet(f"{folder}/matrix")
+    state = matrix.fitted_scaler(data)
     models.save(models.fit(matrix.scaled(data, state, keep=("label",))), state, folder)
     ensemble, state, names = models.load(spark, folder)
     m = matrix.aligned(some(spark, sf_dir, *MATRIX), keep=("page_id",), names=names)
