@@ -62,7 +62,7 @@ def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
             i, j = np.nonzero(near + slack >= floor[:, None])
         else:
             i, j = (x.ravel() for x in np.indices(near.shape))
-        score = np.concatenate([(q[s + i[t : t + 65536]] * d[j[t : t + 65536]]).sum(1) for t in range(0, len(i), 65536)] or [np.empty(0)])
+        score = np.concatenate([products(q[s + i[t : t + 65536]], d[j[t : t + 65536]]) for t in range(0, len(i), 65536)] or [np.empty(0)])
         i, j, score = _best(i, j, score, c_ids[first[j]], k + 1)
         times = np.minimum(k + 1, begin[j + 1] - begin[j])
         place = np.repeat(begin[j], times) + np.concatenate([np.arange(n) for n in times] or [np.empty(0, int)])
@@ -73,6 +73,14 @@ def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     return pd.concat(out)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component on, so that every engine that does so agrees to the bit."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
 def _best(i: np.ndarray, j: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((tie, -score, i))
     i, j, score = i[order], j[order], score[order]
@@ -116,3 +124,10 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, tile: int =
     keys = ("qt", "ct", "dim")
     tops = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     return tops.repartition("query_id").mapInPandas(heaps, "query_id long, rank int, vec_id long, score double")
+
+
+#: DuckDB's SQL for op10: all pairs of usable vectors of one length.
+ORACLE = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p QUALIFY rank <= 20"""

@@ -66,4 +66,4 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_mixing, op4_quality, op5_language, op6_rules, op7_simhash, op8_ppm, op9_pii, op10_neighbours)}
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op10_neighbours": neighbours.ORACLE}

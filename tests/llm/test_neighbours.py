@@ -1,4 +1,6 @@
+import duckdb
 import numpy as np
+import pytest
 
 from sparkwarden.llm import neighbours
 
@@ -47,3 +49,13 @@ def test_few_candidates_and_empty(spark):
     assert ask(spark, [(0, [1.0]), (1, [2.0]), (20, [-1.0])]) == {0: [(1, 2.0), (20, -1.0)], 20: [(0, -1.0), (1, -2.0)]}
     assert ask(spark, []) == {}
     assert len(neighbours.nearest(spark.createDataFrame([(None, [1.0]), (0, [1.0])], "vec_id long, embedding array<float>"), spark.createDataFrame([(None, [1.0])], "vec_id long, embedding array<float>")).collect()) == 0
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_matches_sql(spark, folder):
+    """Row by row and to the last bit."""
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '/root/testdata/{folder}/embeddings.parquet'")
+    vectors = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    got = neighbours.nearest(vectors.where("vec_id % 20 = 0"), vectors)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == sorted(con.sql(neighbours.ORACLE).fetchall())
