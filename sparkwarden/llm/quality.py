@@ -68,6 +68,11 @@ def measured(docs: DataFrame, *extra: str) -> np.ndarray:
     return np.array([np.frombuffer(r) for r in rows]).reshape(-1, len(MEASURES) + len(extra))
 
 
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """rows, or about `most` of them by a number of the row if a doc_id that repeats makes them more."""
+    return hash_sample(rows, F.monotonically_increasing_id(), most, rows.count())
+
+
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.3) -> float:
     """Share of positives among the unlabelled, from scores of either: the least ratio of the two over upper tails with enough positives."""
     cuts = np.quantile(positive, np.linspace(0, 1 - least, 50))
@@ -95,14 +100,14 @@ def nn_slope(kind: np.ndarray, prior: float) -> object:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, trusted: int = 15_000, unlabelled: int = 30_000) -> Style:
     """Learn from the rows where `learn` holds: positives are labels.quality = 1, all other texts come without labels.
 
-    trusted and unlabelled bound the rows that the classifier is fitted on (about so many each, by a hash of the id).
+    trusted and unlabelled bound the rows that the classifier is fitted on (about so many each, by a hash of the id; twice as many at most if ids repeat).
     A doc_id with several labels is trusted if all say 1. Without positives every text scores 0.5.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).where(learn & (F.col("_q") == 1)).select("doc_id")
     pool = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(learn & F.col("doc_id").isNotNull())
     chosen = hash_sample(known, F.col("doc_id"), trusted, known.count())
-    p = measured(pool.join(F.broadcast(chosen), "doc_id"))
-    u = measured(hash_sample(pool, F.col("doc_id"), unlabelled, pool.count()))
+    p = measured(bounded(pool.join(F.broadcast(chosen), "doc_id"), 2 * trusted))
+    u = measured(bounded(hash_sample(pool, F.col("doc_id"), unlabelled, pool.count()), 2 * unlabelled))
     both = np.concatenate([p, u])
     edges = np.stack([_edges(both[:, k]) for k in range(len(MEASURES))]) if len(both) else np.zeros((len(MEASURES), BINS))
     style = Style(edges, np.zeros(len(MEASURES) * (edges.shape[1] + 1) + 1))

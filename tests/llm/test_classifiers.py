@@ -147,3 +147,23 @@ def test_lexicons_come_from_all_labelled_rows(spark, monkeypatch):
     with pytest.raises(Seen) as e:
         toxicity.train(table, labels, F.lit(True), fitted=50)
     assert e.value.args[0].marks[number]
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """One id that repeats does not bring all its rows to the driver."""
+    rows = spark.range(4000).select(F.lit(1).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert 0 < quality.bounded(rows, 400).count() < 800
+    assert quality.bounded(rows, 4000).count() == 4000
+
+
+def test_quality_scores_by_plain_bins(spark):
+    """score, against the weights of each measure's bin, looked up one by one."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    style = quality.train(table, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), ~quality.held_out(F.col("doc_id")))
+    got = {r.doc_id: r.score for r in quality.score(table, style).collect()}
+    width = style.edges.shape[1] + 1
+    for r in table.collect():
+        z = style.weights[-1]
+        for k, x in enumerate(quality.measures(r.text)):
+            z += style.weights[k * width + sum(x >= e for e in style.edges[k])]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
