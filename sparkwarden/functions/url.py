@@ -60,22 +60,20 @@ def registered(host: Column, rules: tuple[str, ...] = SUFFIXES) -> Column:
     plain = [r for r in rules if r[0] not in "*!"] or [""]
     wild = [r[2:] for r in rules if r.startswith("*.")] or [""]
     but = [r[1:] for r in rules if r.startswith("!")] or [""]
-    labels = F.split(host, r"\.")
-    run = lambda v, i: F.lower(F.array_join(F.slice(v, i + 1, F.size(v)), "."))
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    ends = lambda v: F.transform(v, lambda _, i: F.lower(F.array_join(F.slice(v, i + 1, F.size(v)), ".")))
 
-    def place(v: Column) -> Column:
-        """Labels before the suffix; -1 if no rule matches."""
-        hits = F.transform(v, lambda _, i: F.when(run(v, i).isin(but), i + 1).when(run(v, i).isin(plain) | ((i + 1 < F.size(v)) & run(v, i + 1).isin(wild)), i))
-        exception = F.array_max(F.transform(v, lambda _, i: F.when(run(v, i).isin(but), i + 1)))
-        return F.coalesce(exception, F.array_min(F.filter(hits, lambda x: x.isNotNull())), F.lit(-1))
+    def place(r: Column) -> Column:
+        """Labels before the suffix, from what begins at each label; all of them if no rule matches."""
+        exception = F.array_max(F.transform(r, lambda x, i: F.when(x.isin(but), i + 1)))
+        hit = F.array_min(F.transform(r, lambda x, i: F.when(x.isin(plain) | F.get(r, i + 1).isin(wild), i)))
+        return F.coalesce(exception, hit, F.size(r))
 
-    def split(v: Column) -> Column:
-        n = F.size(v)
-        at = F.when(place(v) < 0, n).otherwise(place(v))
+    def split(v: Column, at: Column) -> Column:
         piece = lambda a, b: F.when(b > a, F.array_join(F.slice(v, a + 1, F.greatest(b - a, F.lit(0))), ".")).otherwise("")
         last = F.greatest(at - 1, F.lit(0))
-        return F.struct(piece(F.lit(0), last).alias("subdomain"), piece(last, at).alias("registered"), piece(at, n).alias("suffix"))
+        return F.struct(piece(F.lit(0), last).alias("subdomain"), piece(last, at).alias("registered"), piece(at, F.size(v)).alias("suffix"))
 
     number = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | host.startswith("[")
     alone = F.struct(F.lit("").alias("subdomain"), host.alias("registered"), F.lit("").alias("suffix"))
-    return F.when(number, alone).otherwise(F.get(F.transform(F.array(labels), split), F.lit(0)))
+    return F.when(number, alone).otherwise(once(F.split(host, r"\."), lambda v: once(once(ends(v), place), lambda at: split(v, at))))

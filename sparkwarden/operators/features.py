@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.functions.text import characters, distinct_grams, entropy, flag, has, occurrences, tokens
+from sparkwarden.functions.text import distinct_grams, entropy, flag, has, occurrences, runs, tokens
 from sparkwarden.functions.url import SUFFIXES, parsed
 
 # Fixed values.
@@ -18,13 +18,22 @@ EXTENSIONS = r"\.(php|exe|js|cgi|pl|sh|py|asp|aspx|dll)"
 COUNTED = {"dots": ".", "hyphens": "-", "underscores": "_", "slashes": "/", "questionmarks": "?", "equals": "=", "ats": "@", "ampersands": "&", "exclamations": "!", "spaces": " "}
 
 
+def staged(df: DataFrame, u: str = "u") -> DataFrame:
+    """df with what several features share, worked out once a row; columns that no feature asks for are pruned."""
+    s, d, p, q = (F.col(f"{u}.{k}") for k in ("url", "domain", "path", "query"))
+    df = df.withColumns({"_low": F.lower(s), "_host": F.lower(d), "_runs": runs(s), "_parts": tokens(d, "[.-]"), "_dirs": tokens(p, "/"), "_domain_entropy": entropy(d), "_path_entropy": entropy(p), "_query_entropy": entropy(q)})
+    df = df.withColumns({"_entropy": entropy(s, F.col("_runs")), "_lower_parts": F.transform("_parts", F.lower)})
+    nearest = lambda b: F.array_min(F.transform("_lower_parts", lambda t: F.levenshtein(F.lit(b), t)))
+    return df.withColumns({f"_{b}": F.coalesce(nearest(b), F.lit(-1)) for b in BRANDS})
+
+
 def expressions(u: str = "u") -> dict[str, Column]:
-    """All features by name, in their frozen order, over a struct column as functions.url.parsed gives."""
+    """All features by name, in their frozen order, over a frame as functions.url.parsed and then staged give."""
     s, d, p, q, f = (F.col(f"{u}.{k}") for k in ("url", "domain", "path", "query", "fragment"))
-    sub, reg, suf, low = F.col(f"{u}.subdomain"), F.col(f"{u}.registered"), F.col(f"{u}.suffix"), F.lower(s)
+    sub, reg, suf, low, host = F.col(f"{u}.subdomain"), F.col(f"{u}.registered"), F.col(f"{u}.suffix"), F.col("_low"), F.col("_host")
     n = F.greatest(F.length(s), F.lit(1))
     share = lambda pattern, text=s: F.regexp_count(text, F.lit(pattern)) / n
-    parts, dirs, brand_parts = tokens(d, "[.-]"), tokens(p, "/"), tokens(F.lower(d), "[.-]")
+    parts, dirs = F.col("_parts"), F.col("_dirs")
     out = {"url_length": F.length(s), "domain_length": F.length(d), "path_length": F.length(p)}
     out |= {f"count_{k}": occurrences(s, c) for k, c in COUNTED.items()}
     out |= {"count_www": occurrences(low, "www"), "count_com": occurrences(low, ".com")}
@@ -38,23 +47,21 @@ def expressions(u: str = "u") -> dict[str, Column]:
     out["has_suspicious_path"] = flag(F.lower(p).rlike("login|admin|verify|secure|account"))
     out |= {"query_length": F.length(q), "query_param_count": F.when(q != "", occurrences(q, "&") + 1).otherwise(0)}
     out["security_terms_count"] = sum((has(low, t) for t in SECURITY_TERMS[1:]), has(low, SECURITY_TERMS[0]))
-    out |= {"entropy": entropy(s), "fragment_length": F.length(f), "domain_token_count": F.size(parts), "path_token_count": F.size(dirs)}
+    out |= {"entropy": F.col("_entropy"), "fragment_length": F.length(f), "domain_token_count": F.size(parts), "path_token_count": F.size(dirs)}
     out |= {"special_char_ratio": share(r"[^\p{L}\p{N}]"), "upper_case_ratio": share(r"\p{Lu}"), "vowel_ratio": share("[aeiou]", low), "consonant_ratio": share("[b-df-hj-np-tv-z]", low)}
-    out["unique_char_ratio"] = F.size(F.array_distinct(characters(s))) / n
-    out |= {"domain_entropy": entropy(d), "path_entropy": entropy(p), "query_entropy": entropy(q)}
+    out["unique_char_ratio"] = F.size("_runs") / n
+    out |= {f"{k}_entropy": F.col(f"_{k}_entropy") for k in ("domain", "path", "query")}
     out["entropy_ratio"] = F.when(out["entropy"] > 0, out["domain_entropy"] / out["entropy"]).otherwise(out["domain_entropy"])
     whole = F.regexp_replace(F.concat_ws(".", reg, suf), r"^\.+|\.+$", "")
     out |= {"is_shortened": flag(whole.isin(*SHORTENERS)), "domain_has_digit": flag(reg.rlike(r"\p{Nd}")), "subdomain_has_digit": flag(sub.rlike(r"\p{Nd}"))}
     out |= {"tld": suf, "has_suspicious_tld": flag(suf.isin(*RISKY_SUFFIXES))}
     out |= {f"contains_{t}": has(low, t) for t in TERMS}
     for b in BRANDS:
-        out[f"contains_{b}"] = has(F.lower(d), b)
-        nearest = F.array_min(F.transform(brand_parts, lambda t: F.levenshtein(F.lit(b), t)))
-        out[f"{b}_min_distance"] = F.coalesce(nearest, F.lit(-1))
+        out |= {f"contains_{b}": has(host, b), f"{b}_min_distance": F.col(f"_{b}")}
     out["min_brand_distance"] = F.least(*(out[f"{b}_min_distance"] for b in BRANDS))
     out |= {"has_multiple_subdomains": has(sub, "."), "has_suspicious_chars": flag(s.rlike("xn--|%[0-9A-Fa-f]{2}")), "has_at_symbol": has(s, "@"), "has_hexadecimal": flag(s.rlike("0x[0-9a-fA-F]+")), "has_ip_pattern": flag(s.rlike(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"))}
     out["dir_count"] = occurrences(p, "/")
-    out["avg_dir_length"] = F.when(F.size(dirs) > 0, F.aggregate(dirs, F.lit(0), lambda t, x: t + F.length(x)) / F.size(dirs)).otherwise(F.lit(0.0))
+    out["avg_dir_length"] = F.when(F.size(dirs) > 0, F.length(F.array_join(dirs, "")) / F.size(dirs)).otherwise(F.lit(0.0))
     out["has_file_extension_in_path"] = flag(F.lower(p).rlike(EXTENSIONS))
     out |= {"unique_2gram_ratio": distinct_grams(s, 2), "unique_3gram_ratio": distinct_grams(s, 3)}
     return out
@@ -73,4 +80,4 @@ MATRIX = tuple(n for n in NAMES if n != "tld")
 def features(df: DataFrame, url_col: str = "url", keep: tuple[str, ...] = (), names: tuple[str, ...] = NAMES, rules: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """The columns `keep` of df and the named features of its URL column; a narrow plan without UDFs."""
     made = expressions()
-    return parsed(df, url_col, rules).select(*keep, *(made[n].alias(n) for n in names))
+    return staged(parsed(df, url_col, rules)).select(*keep, *(made[n].alias(n) for n in names))

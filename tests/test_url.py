@@ -1,8 +1,10 @@
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkwarden.functions.text import distinct_grams, entropy, runs
 from sparkwarden.functions.url import parsed
 from sparkwarden.operators import matrix, models, scoring
 from sparkwarden.operators.features import MATRIX, NAMES, features
@@ -106,3 +108,29 @@ def test_feedback_rules(spark):
     assert [(r.url, r.reported_label) for r in scoring.feedback(live).collect()] == [("u", 0)]
     ok, bad = scoring.valid_reports(spark.createDataFrame([(0,), (1,), (2,), (None,)], "reported_label int"))
     assert (ok.count(), bad.count()) == (2, 2)
+
+
+def test_each_url_is_judged_once(spark):
+    """Repeated, null and clashing rows: as many verdicts as visits, and the model sees distinct URLs alone."""
+    seen = []
+
+    def model(x):
+        seen.extend(r.url for r in x.collect())
+        return x.withColumns({"prediction": F.length(F.coalesce("url", F.lit(""))), "probability": F.lit(-1.0)})
+
+    visits = spark.createDataFrame([(k, u, 9) for k, u in enumerate(["http://a.b/", "http://a.b/", None, None, "http://www.github.com/", "http://github.com/", "http://a.b/c"])], "k int, url string, prediction int")
+    got = {r.k: (r.prediction, r.whitelisted) for r in scoring.score(visits, model).collect()}
+    assert got == {0: (11, False), 1: (11, False), 2: (0, False), 3: (0, False), 4: (0, True), 5: (0, True), 6: (12, False)}
+    assert sorted(seen, key=repr) == sorted(["http://a.b/", "http://a.b/c", None], key=repr)
+    assert scoring.score(visits.where("false"), model).count() == 0
+
+
+def test_entropy_and_grams_by_character(spark):
+    """Against plain Python, with characters outside the basic plane, line ends and one-character texts."""
+    texts = ["", "a", "aa", "ab\nab", "😀😀a", "é😀é", "x" * 50, "a.b-c/..//"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, s string").select("k", entropy(F.col("s")).alias("e"), distinct_grams(F.col("s"), 2).alias("g"), F.size(runs(F.col("s"))).alias("n")).collect()
+    for r in rows:
+        s = texts[r.k]
+        want = -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
+        grams = [s[i : i + 2] for i in range(len(s) - 1)]
+        assert abs(r.e - want) < 1e-9 and r.n == len(set(s)) and r.g == (len(set(grams)) / len(grams) if grams else 0)
