@@ -25,13 +25,20 @@ def trust_key(netloc: Column) -> Column:
     return F.regexp_replace(netloc, r"^www\.", "")
 
 
-def score(visits: DataFrame, model: Callable[[DataFrame], DataFrame], trusted: tuple[str, ...] = TRUSTED, netloc: Column | None = None) -> DataFrame:
-    """visits with prediction, probability and whitelisted; only hosts that aren't trusted go through `model`."""
-    host = netloc if netloc is not None else F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)
-    known = F.coalesce(trust_key(host).isin(*trusted), F.lit(False))  # a null URL is not trusted
-    passed = visits.where(known).withColumns({"prediction": F.lit(0), "probability": F.lit(1.0), "whitelisted": F.lit(True)})
-    judged = model(visits.where(~known)).withColumn("whitelisted", F.lit(False))
-    return passed.unionByName(judged.select(*passed.columns))
+def score(visits: DataFrame, model: Callable[[DataFrame], DataFrame], trusted: tuple[str, ...] = TRUSTED) -> DataFrame:
+    """visits with prediction, probability and whitelisted; only hosts that aren't trusted go through `model`.
+
+    Each distinct URL is judged once, however often it is visited: `model` is given url alone and adds prediction and probability.
+    The verdicts have one row a URL, so a hot URL only makes its visits' side of the join skewed, which is split at run time. A null URL
+    is not trusted; columns of visits that are named like a verdict's are replaced.
+    """
+    verdict = ("prediction", "probability", "whitelisted")
+    urls = visits.select("url").distinct()
+    known = F.coalesce(trust_key(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)).isin(*trusted), F.lit(False))
+    passed = urls.where(known).select("url", F.lit(0).alias("prediction"), F.lit(1.0).alias("probability"), F.lit(True).alias("whitelisted"))
+    judged = model(urls.where(~known)).select("url", "prediction", "probability", F.lit(False).alias("whitelisted"))
+    verdicts = passed.unionByName(judged).withColumnRenamed("url", "_url")
+    return visits.drop(*verdict).join(verdicts, F.col("url").eqNullSafe(F.col("_url"))).drop("_url")
 
 
 def prediction_log(scored: DataFrame, now: Column | None = None) -> DataFrame:

@@ -57,8 +57,9 @@ def some(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 
 # SQL pieces over pages: all its URLs have a scheme, and one-label suffixes.
-_U = f"""u0 AS (SELECT page_id, url AS s, lower(regexp_extract(url, '{SPLIT}', 1)) AS scheme, regexp_extract(url, '{SPLIT}', 2) AS d, regexp_replace(regexp_extract(url, '{SPLIT}', 3), ';[^/]*$', '') AS p, regexp_extract(url, '{SPLIT}', 4) AS q, regexp_extract(url, '{SPLIT}', 5) AS f FROM pages),
+_FROM = f"""u0 AS (SELECT page_id, url AS s, lower(regexp_extract(url, '{SPLIT}', 1)) AS scheme, regexp_extract(url, '{SPLIT}', 2) AS d, regexp_replace(regexp_extract(url, '{SPLIT}', 3), ';[^/]*$', '') AS p, regexp_extract(url, '{SPLIT}', 4) AS q, regexp_extract(url, '{SPLIT}', 5) AS f FROM {{}}),
 u AS (SELECT *, greatest(length(s), 1) AS n, lower(s) AS low, string_split(d, '.')[-1] AS suf, string_split(d, '.')[-2] AS reg, array_to_string(string_split(d, '.')[:-3], '.') AS sub, list_filter(regexp_split_to_array(d, '[.-]'), lambda x: x <> '') AS parts, list_filter(string_split(p, '/'), lambda x: x <> '') AS dirs FROM u0)"""
+_U = _FROM.format("pages")
 
 
 def _sql(cells: dict[str, str]) -> str:
@@ -150,13 +151,13 @@ def url_tokens(spark, sf_dir):
     return u.select("page_id", F.array_join(tokens(F.col("u.domain"), "[.-]"), " ").alias("domain_tokens"), F.array_join(tokens(F.col("u.path"), "/"), " ").alias("path_tokens"))
 
 
-@registered("""WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS s FROM pages)
-SELECT page_id, s AS url, length(s) AS url_length, CAST(length(s) - length(replace(s, '/', '')) AS INT) AS count_slashes, round(list_aggregate(string_split(s, ''), 'entropy'), 6) AS entropy FROM h""")
+@registered(f"""WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS url FROM pages), {_FROM.format("h")}
+SELECT page_id, s AS url, {', '.join(f'{e} AS {k}' for k, e in CELLS.items())} FROM u""")
 def href_features(spark, sf_dir):
     base = F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0)
     hrefs = read(spark, sf_dir, "pages").select("page_id", base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("href"))
     links = hrefs.select("page_id", F.concat("base", "href").alias("url"))
-    return rounded(features(links, keep=("page_id", "url"), names=("url_length", "count_slashes", "entropy")))
+    return rounded(features(links, keep=("page_id", "url")))
 
 
 @registered("SELECT toxic AS label, count(*) AS n FROM labels GROUP BY 1")
