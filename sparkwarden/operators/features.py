@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,9 @@ def staged(df: DataFrame, u: str = "u") -> DataFrame:
     return df.withColumns({f"_{b}": F.coalesce(nearest(b), F.lit(-1)) for b in BRANDS})
 
 
+@cache
 def expressions(u: str = "u") -> dict[str, Column]:
-    """All features by name, in their frozen order, over a frame as functions.url.parsed and then staged give."""
+    """All features by name, in their frozen order, over a frame as functions.url.parsed and then staged give; built once a process."""
     s, d, p, q, f = (F.col(f"{u}.{k}") for k in ("url", "domain", "path", "query", "fragment"))
     sub, reg, suf, low, host = F.col(f"{u}.subdomain"), F.col(f"{u}.registered"), F.col(f"{u}.suffix"), F.col("_low"), F.col("_host")
     n = F.greatest(F.length(s), F.lit(1))
