@@ -16,6 +16,8 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent
 BUCKETS = 1 << 14
+#: The white space that separates words.
+BLANKS = " \t\n\x0b\x0c\r"
 THRESHOLD = -0.1
 
 
@@ -25,17 +27,25 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    bare = F.btrim(text, F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
 
 
 def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def window_hashes(hashes: Column, width: int) -> Column:
-    """Hashes of all runs of `width` words."""
-    none = F.array().cast("array<bigint>")
-    return let(hashes, lambda h: F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width))))).otherwise(none))
+def window_hashes(df: DataFrame, runs: str, have: int, width: int, name: str) -> DataFrame:
+    """df with column `name`: hashes of all runs of `width` words, from `runs`, the hashes of all runs of `have` words.
+
+    A longer run is hashed from two shorter ones, the second `step` words on. Each length is a column of its own, so slices stay in generated code.
+    """
+    while have < width:
+        step = min(have, width - have)
+        n = F.greatest(F.size(runs) - step, F.lit(0))
+        df = df.withColumn(name, F.zip_with(F.slice(runs, 1, n), F.slice(runs, step + 1, n), lambda x, y: F.xxhash64(x, y)))
+        runs, have = name, have + step
+    return df
 
 
 def repeated_words(windows: Column, width: int = WINDOW) -> Column:
@@ -54,7 +64,7 @@ def repeated_words(windows: Column, width: int = WINDOW) -> Column:
         step = lambda t, p: F.struct((t["n"] + F.least(F.lit(width), p + width - t["end"])).alias("n"), (p + width).alias("end"))
         return F.aggregate(let(ranked, places), start, step, lambda t: t["n"])
 
-    return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(covered(w)))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(covered(windows))
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -62,24 +72,28 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def gram_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of all words and pairs of neighbours."""
-    modulus = F.lit(buckets)
-    both = let(hashes, lambda h: F.concat(h, window_hashes(h, 2)))
-    return F.transform(both, lambda x: F.pmod(x, modulus).cast("int"))
+def grams(df: DataFrame) -> DataFrame:
+    """df(_text) with _words, _h (hashes of the words) and _pairs (hashes of all two neighbours)."""
+    df = df.withColumn("_words", words_of(F.col("_text"))).withColumn("_h", word_hashes(F.col("_words")))
+    return window_hashes(df, "_h", 1, 2, "_pairs")
+
+
+def bucket(gram: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
-def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
+def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0, most_sent: int = 1_000_000) -> DataFrame:
     """One row with _llr, the log-ratio of each bucket's chance among trusted texts to that in the whole corpus.
 
     Trusted are all documents with labels.quality = 1; the corpus counts cover every document. Without trusted texts all ratios fall to their smoothing.
+    Up to `most_sent` trusted ids (8 bytes each) go to the texts by broadcast; more meet them by a shuffle, with the same result.
     """
     known = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    known = known.withColumn("_trusted", F.lit(1)).hint("merge")  # labels have no bound: a shuffle at every size
+    known = known.withColumn("_trusted", F.lit(1)).hint("broadcast" if known.count() <= most_sent else "merge")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    grams = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("_text")).join(known, "_id", "left")
-    grams = grams.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(gram_buckets(word_hashes(words_of(F.col("_text"))), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("all"), F.sum("t").alias("trusted"))
+    texts = grams(docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("_text")).join(known, "_id", "left"))
+    each = texts.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(F.concat("_h", "_pairs")).alias("gram"))
+    counts = each.groupBy(bucket(F.col("gram"), buckets).alias("bucket")).agg(F.count("*").alias("all"), F.sum("t").alias("trusted"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     row = every.agg(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("all", F.lit(0)).alias("all"), F.coalesce("trusted", F.lit(0)).alias("trusted")))).alias("c"), F.sum("all").alias("n_all"), F.sum("trusted").alias("n_trusted"))
     share = lambda n, total: F.log((n + smoothing) / (F.coalesce(total, F.lit(0)) + smoothing * buckets))
@@ -94,12 +108,12 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **se
     """
     model = ratios(docs, labels, **settings)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    own = own.select("doc_id", "_text", word_hashes(words_of(F.col("_text"))).alias("_h"), model.scalar().alias("_llr"))
+    own = window_hashes(grams(own), "_pairs", 2, WINDOW, "_runs").withColumn("_llr", model.scalar())
     long = lambda c: c.cast("long")
-    mean = let(gram_buckets(F.col("_h")), lambda b: F.aggregate(b, F.lit(0.0), lambda t, k: t + F.get("_llr", k)) / F.greatest(F.size(b), F.lit(1)))
+    total = F.aggregate(F.concat("_h", "_pairs"), F.lit(0.0), lambda t, gram: t + F.get("_llr", bucket(gram, settings.get("buckets", BUCKETS))))
     out = own.select(
-        "doc_id", long(F.size("_h")).alias("n_words"), long(F.length(F.regexp_replace("_text", SPACE, ""))).alias("word_chars"), long(F.regexp_count("_text", F.lit(r"[#*$%&|<>]"))).alias("n_symbols"),
-        long(duplicate_lines(F.col("_text"))).alias("n_dup_lines"), long(repeated_words(window_hashes(F.col("_h"), WINDOW))).alias("n_repeat_words"), mean.alias("llr"),
+        "doc_id", long(F.size("_h")).alias("n_words"), long(F.length(F.array_join("_words", ""))).alias("word_chars"), long(F.regexp_count("_text", F.lit(r"[#*$%&|<>]"))).alias("n_symbols"),
+        long(duplicate_lines(F.col("_text"))).alias("n_dup_lines"), long(repeated_words(F.col("_runs"))).alias("n_repeat_words"), (total / F.greatest(F.size("_h") + F.size("_pairs"), F.lit(1))).alias("llr"),
     )
     out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
