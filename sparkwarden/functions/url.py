@@ -30,11 +30,18 @@ def suffix_rules(spark: SparkSession, path: str | None = None) -> tuple[str, ...
     return tuple(sorted(r.v for r in rows.distinct().collect()))
 
 
-def parsed(df: DataFrame, url_col: str = "url", rules: tuple[str, ...] = SUFFIXES) -> DataFrame:
+def suffix_table(spark: SparkSession, path: str) -> DataFrame:
+    """The suffix table as (ends, kind): what a host must end with, lower-case, and whether the rule is plain, wild or an exception (but)."""
+    rule = spark.read.text(path).select(F.lower(F.trim("value")).alias("v")).where("v <> '' and v not like '//%'").distinct()
+    kind = F.when(F.col("v").startswith("*."), "wild").when(F.col("v").startswith("!"), "but").otherwise("plain")
+    return rule.select(F.regexp_replace("v", r"^(\*\.|!)", "").alias("ends"), kind.alias("kind"))
+
+
+def parsed(df: DataFrame, url_col: str = "url", rules: tuple[str, ...] | DataFrame = SUFFIXES) -> DataFrame:
     """df with u: struct of url, scheme, domain, path, query, fragment, subdomain, registered, suffix.
 
     The text itself is kept as u.url; nulls give null parts. A host with unmatched brackets or unsafe characters falls back
-    to a cut at the first slash.
+    to a cut at the first slash. A few suffix rules are literals of the plan; a full list is given as a suffix_table and joined.
     """
     url = F.col(url_col).cast("string")
     clean = F.regexp_replace(F.regexp_replace(with_scheme(url), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
@@ -48,20 +55,43 @@ def parsed(df: DataFrame, url_col: str = "url", rules: tuple[str, ...] = SUFFIXE
     df = df.withColumn("_s", F.when(bad, F.struct(F.lit("http").alias("scheme"), F.substring_index(url, "/", 1).alias("netloc"), rest.alias("path"), F.lit("").alias("query"), F.lit("").alias("fragment"), F.lit(True).alias("bad"))).otherwise(
         F.struct(F.when(F.col("_p.scheme") == "", "http").otherwise(F.col("_p.scheme")).alias("scheme"), netloc.alias("netloc"), path.alias("path"), F.col("_p.query").alias("query"), F.col("_p.fragment").alias("fragment"), F.lit(False).alias("bad"))))
     host = F.regexp_replace(F.regexp_replace(F.when(F.col("_s.bad"), "").otherwise(F.col("_s.netloc")), "^.*@", ""), r":\d*$", "")
-    df = df.withColumn("_h", host).withColumn("_d", registered(F.col("_h"), rules))
+    df = df.withColumn("_h", host)
+    df = with_registered(df, "_h", rules) if isinstance(rules, DataFrame) else df.withColumn("_d", registered(F.col("_h"), rules))
     joined = F.regexp_replace(F.concat_ws(".", "_d.subdomain", "_d.registered", "_d.suffix"), r"^\.+|\.+$", "")
     domain = F.when((F.col("_s.netloc") != "") | F.col("_s.bad"), F.col("_s.netloc")).otherwise(joined)
     u = F.struct(url.alias("url"), F.col("_s.scheme").alias("scheme"), domain.alias("domain"), F.col("_s.path").alias("path"), F.col("_s.query").alias("query"), F.col("_s.fragment").alias("fragment"), F.col("_d.subdomain").alias("subdomain"), F.col("_d.registered").alias("registered"), F.col("_d.suffix").alias("suffix"))
     return df.withColumn("u", u).drop("_clean", "_p", "_s", "_h", "_d")
 
 
+def _once(value: Column, then) -> Column:
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _ends(v: Column) -> Column:
+    """What begins at each label, lower-case."""
+    return F.transform(v, lambda _, i: F.lower(F.array_join(F.slice(v, i + 1, F.size(v)), ".")))
+
+
+def _split(v: Column, at: Column) -> Column:
+    """struct(subdomain, registered, suffix) of labels whose suffix begins after `at` of them."""
+    piece = lambda a, b: F.when(b > a, F.array_join(F.slice(v, a + 1, F.greatest(b - a, F.lit(0))), ".")).otherwise("")
+    last = F.greatest(at - 1, F.lit(0))
+    return F.struct(piece(F.lit(0), last).alias("subdomain"), piece(last, at).alias("registered"), piece(at, F.size(v)).alias("suffix"))
+
+
+def _numeric(host: Column) -> Column:
+    return host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | host.startswith("[")
+
+
+def _alone(host: Column) -> Column:
+    return F.struct(F.lit("").alias("subdomain"), host.alias("registered"), F.lit("").alias("suffix"))
+
+
 def registered(host: Column, rules: tuple[str, ...] = SUFFIXES) -> Column:
     """struct(subdomain, registered, suffix) of a host: the longest matching rule wins, then exceptions; an unknown suffix is empty."""
     plain = [r for r in rules if r[0] not in "*!"] or [""]
     wild = [r[2:] for r in rules if r.startswith("*.")] or [""]
     but = [r[1:] for r in rules if r.startswith("!")] or [""]
-    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
-    ends = lambda v: F.transform(v, lambda _, i: F.lower(F.array_join(F.slice(v, i + 1, F.size(v)), ".")))
 
     def place(r: Column) -> Column:
         """Labels before the suffix, from what begins at each label; all of them if no rule matches."""
@@ -69,11 +99,22 @@ def registered(host: Column, rules: tuple[str, ...] = SUFFIXES) -> Column:
         hit = F.array_min(F.transform(r, lambda x, i: F.when(x.isin(plain) | F.get(r, i + 1).isin(wild), i)))
         return F.coalesce(exception, hit, F.size(r))
 
-    def split(v: Column, at: Column) -> Column:
-        piece = lambda a, b: F.when(b > a, F.array_join(F.slice(v, a + 1, F.greatest(b - a, F.lit(0))), ".")).otherwise("")
-        last = F.greatest(at - 1, F.lit(0))
-        return F.struct(piece(F.lit(0), last).alias("subdomain"), piece(last, at).alias("registered"), piece(at, F.size(v)).alias("suffix"))
+    return F.when(_numeric(host), _alone(host)).otherwise(_once(F.split(host, r"\."), lambda v: _once(_once(_ends(v), place), lambda at: _split(v, at))))
 
-    number = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | host.startswith("[")
-    alone = F.struct(F.lit("").alias("subdomain"), host.alias("registered"), F.lit("").alias("suffix"))
-    return F.when(number, alone).otherwise(once(F.split(host, r"\."), lambda v: once(once(ends(v), place), lambda at: split(v, at))))
+
+def with_registered(df: DataFrame, host: str, rules: DataFrame, most_sent: int = 200_000) -> DataFrame:
+    """df with _d, as registered(host) gives it, by rules of suffix_table: each distinct host is looked up once.
+
+    Up to `most_sent` rules go to the hosts' endings by broadcast, more by a shuffle. Hosts come back to their rows by a join that is split
+    at run time where one host is hot. A null host gives a null suffix place and so null parts; no rules leave every suffix empty.
+    """
+    hosts = df.select(F.col(host).alias("_host")).distinct()
+    ends = hosts.where(~_numeric(F.col("_host"))).select("_host", F.posexplode(_ends(F.split("_host", r"\."))).alias("_j", "ends"))
+    ruled = rules.select("ends", "kind").distinct()
+    hits = ends.join(ruled.hint("broadcast" if ruled.count() <= most_sent else "merge"), "ends")
+    j, kind = F.col("_j"), F.col("kind")
+    hit = F.min(F.when(kind == "plain", j).when((kind == "wild") & (j > 0), j - 1))
+    at = hits.groupBy(F.col("_host").alias("_of")).agg(F.coalesce(F.max(F.when(kind == "but", j + 1)), hit).alias("_at"))
+    labels = F.split("_host", r"\.")
+    found = hosts.join(at, F.col("_host") == F.col("_of"), "left").select("_host", F.when(_numeric(F.col("_host")), _alone(F.col("_host"))).otherwise(_split(labels, F.coalesce("_at", F.size(labels)))).alias("_d"))
+    return df.join(found, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")

@@ -80,7 +80,7 @@ NAMES: tuple[str, ...] = (
 MATRIX = tuple(n for n in NAMES if n != "tld")
 
 
-def features(df: DataFrame, url_col: str = "url", keep: tuple[str, ...] = (), names: tuple[str, ...] = NAMES, rules: tuple[str, ...] = SUFFIXES) -> DataFrame:
+def features(df: DataFrame, url_col: str = "url", keep: tuple[str, ...] = (), names: tuple[str, ...] = NAMES, rules: tuple[str, ...] | DataFrame = SUFFIXES) -> DataFrame:
     """The columns `keep` of df and the named features of its URL column; a narrow plan without UDFs."""
     made = expressions()
     return staged(parsed(df, url_col, rules)).select(*keep, *(made[n].alias(n) for n in names))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.text import tokens
-from sparkwarden.functions.url import SPLIT, parsed, with_scheme
+from sparkwarden.functions.url import SPLIT, SUFFIXES, parsed, with_scheme
 from sparkwarden.operators import matrix, models, scoring
 from sparkwarden.operators.features import BRANDS, COUNTED, MATRIX, SECURITY_TERMS, TERMS, features
 from sparkwarden.sources.io import label_distribution
@@ -145,6 +145,13 @@ def registered_domain(spark, sf_dir):
     return parsed(pages(spark, sf_dir)).select("page_id", "u.subdomain", "u.registered", "u.suffix")
 
 
+@registered(ORACLE_SQL["registered_domain"])
+def registered_domain_joined(spark, sf_dir):
+    """registered_domain with the suffix rules as a table that the hosts' endings are joined to."""
+    rules = spark.createDataFrame([(r.lstrip("*!").lstrip("."), "wild" if r[0] == "*" else "but" if r[0] == "!" else "plain") for r in SUFFIXES], "ends string, kind string")
+    return parsed(pages(spark, sf_dir), rules=rules).select("page_id", "u.subdomain", "u.registered", "u.suffix")
+
+
 @registered(f"WITH {_U} SELECT page_id, array_to_string(parts, ' ') AS domain_tokens, array_to_string(dirs, ' ') AS path_tokens FROM u")
 def url_tokens(spark, sf_dir):
     u = parsed(pages(spark, sf_dir))
