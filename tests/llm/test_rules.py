@@ -90,3 +90,9 @@ def test_every_trusted_text_counts(spark):
     labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
     got = rules.ratios(table, labels).first()[0]
     assert got == pytest.approx([0.0] * rules.BUCKETS, abs=1e-12)
+
+
+def test_broadcast_and_shuffle_agree(spark):
+    sf = "/root/testdata/sf0.001"
+    table, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    assert rules.ratios(table, labels, most_sent=0).first()[0] == rules.ratios(table, labels).first()[0]
