@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, language, mixing, neighbours, pii, ppm, quality, rules, simhash, toxicity
+from sparkwarden.llm import bpe, language, mixing, neighbours, pii, ppm, quality, resampling, rules, simhash, toxicity
 from sparkwarden.llm.common import table
 
 
@@ -64,6 +64,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors.where("vec_id % 20 = 0"), vectors)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_mixing, op4_quality, op5_language, op6_rules, op7_simhash, op8_ppm, op9_pii, op10_neighbours)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op10_neighbours": neighbours.ORACLE}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_mixing, op4_quality, op5_language, op6_rules, op7_simhash, op8_ppm, op9_pii, op10_neighbours, op11_resampling)}
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op10_neighbours": neighbours.ORACLE, "op11_resampling": resampling.ORACLE}
