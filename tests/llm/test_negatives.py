@@ -1,0 +1,101 @@
+import math
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sparkwarden.llm import negatives
+from sparkwarden.llm.queries import QUERIES
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows, every=100, p=5, k=5):
+    """Plain loops over (vec_id, vector, label)."""
+    ok = [(i, [math.floor(256 * np.float32(x).astype(float)) for x in v], (y + 1) % 10 if i % 7 == 0 else y) for i, v, y in rows if None not in (i, v, y) and None not in v and np.isfinite(v).all()]
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out, asked = [], {}
+    for i, v, y in ok:
+        if i % every == 0:
+            asked[i] = min(asked.get(i, (y, v)), (y, v))
+    for i, (y, v) in asked.items():
+        all_ = [(-score(v, w), j, z) for j, w, z in ok if j != i and len(w) == len(v)]
+        for s, j, _ in sorted(x for x in all_ if x[2] == y)[:p]:
+            near = sorted((t, n) for t, n, z in all_ if z != y and 80 * -s <= 100 * -t <= 100 * -s)[:k]
+            out += [(i, j, r, n, -s, -t) for r, (t, n) in enumerate(near, 1)]
+    return sorted(out)
+
+
+def ask(spark, rows, every=100, **settings):
+    df = spark.createDataFrame(rows, SCHEMA) if isinstance(rows, list) else rows
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    got = negatives.mine(df, F.col("vec_id") % every == 0, moved, **settings)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    return sorted(map(tuple, got.collect()))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 5), st.integers(1, 9), st.integers(0, 6), st.sampled_from([1, 300, 10**5, 2**31, 2**40, 2**90]), st.integers(0, 2**32), st.sampled_from([20, 53]))
+def test_packed_products_are_exact(m, n, dims, size, seed, most):
+    """Fields never run into each other, whatever the sizes and signs; small ones in doubles, large ones as Python's integers."""
+    rng = np.random.default_rng(seed)
+    make = lambda k: np.array([[int(rng.integers(-1000, 1001)) * size // 1000 for _ in range(dims)] for _ in range(k)], object).reshape(k, dims)
+    a, c = make(m), make(n)
+    narrow = (lambda x: x.astype(np.int64)) if size < 2**62 else lambda x: x
+    got = negatives.packed_products(narrow(a), narrow(c), most)
+    assert [[int(x) for x in r] for r in got] == [[sum(int(x) * int(y) for x, y in zip(r, s)) for s in c] for r in a]
+
+
+def test_several_candidates_share_a_number():
+    rng = np.random.default_rng(2)
+    a, c = rng.integers(-130, 130, (4, 64)), rng.integers(-130, 130, (7, 64))
+    assert (64 * 260 * 260).bit_length() * 2 <= negatives.EXACT
+    assert (negatives.packed_products(a, c) == a @ c.T).all()
+
+
+def test_matches_brute_force(spark):
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = brute(rows)
+    assert ask(spark, df) == want and len(want) > 20
+    assert ask(spark, df, tile=60, block=2) == want
+    assert ask(spark, df, 10, tile=100) == brute(rows, 10)
+
+
+def test_ties_odd_rows_and_few_candidates(spark):
+    """Equal vectors and scores, nulls, non-finite, empty, long and zero vectors, other lengths, scores of 0 and below, repeated rows and anchors, a hot vector."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [0.5, 0.25, -0.125], i % 3) for i in range(0, 120, 2)] + [(i, rng.normal(size=3).round(2).tolist(), i % 4) for i in range(1, 160, 2)]
+    rows += [(200, None, 1), (201, [None, 1.0, 1.0], 1), (202, [float("nan"), 1.0, 1.0], 1), (203, [float("inf"), 1.0, 0.0], 1), (204, [1.0, 1.0, 1.0], None), (None, [1.0, 1.0, 1.0], 1)]
+    rows += [(300, [0.0, 0.0, 0.0], 0), (301, [0.0, 0.0, 0.0], 1), (400, [], 0), (401, [], 0), (402, [], 1), (500, [1.0, 1.0], 2), (501, [1.0, 0.5], 2), (502, [1.0, 0.4], 5), (600, [9.0], 3)]
+    rows += [(51, [0.5, 0.25, -0.125], 2)] * 3 + [(700, [1.0, 0.0, 0.0], 1), (700, [0.0, 1.0, 0.0], 1), (800, [3e4, -3e4, 1.0], 1), (801, [2e4, 1.0, 1.0], 1), (802, [2e4, 1.5, 1.0], 7)]
+    got, want = ask(spark, rows, 10), brute(rows, 10)
+    # Twins of a positive are told apart by nothing; both have the same negatives.
+    assert got == want and len(want) > 100
+    assert ask(spark, rows, 10, tile=16, block=3) == want
+    assert any(w[4] == 0 for w in want)
+
+
+def test_huge_components(spark):
+    """Exact beyond 64 bits inside; what doesn't fit a long is shown at its end."""
+    rows = [(100, [2.0**60, 1.0], 1), (101, [2.0**60, 0.0], 1), (102, [2.0**60 * 0.9, 0.0], 2), (103, [2.0**60 * 1.1, 0.0], 2), (104, [1.0, 1.0], 2)]
+    got = ask(spark, rows)
+    assert {r[0] for r in got} <= {100} and all(r[4] == negatives.HIGHEST for r in got)
+
+
+def test_empty_and_clashing_columns(spark):
+    assert ask(spark, []) == []
+    df = spark.createDataFrame([(100, [1.0], 1), (1, [2.0], 1), (2, [2.0], 3)], SCHEMA).withColumns({c: F.lit("x") for c in ("v", "dim", "at", "rt", "r", "score", "rank", "turn", "anchor_id")})
+    assert ask(spark, df) == [(100, 1, 1, 2, 256 * 512, 256 * 512)] == brute([(100, [1.0], 1), (1, [2.0], 1), (2, [2.0], 3)])
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_matches_sql(spark, folder):
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '/root/testdata/{folder}/embeddings.parquet'")
+    want = con.sql(negatives.ORACLE)
+    got = QUERIES["op13_negatives"](spark, f"/root/testdata/{folder}")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
