@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, language, mixing, negatives, neighbours, pii, ppm, quality, resampling, rules, simhash, toxicity
+from sparkwarden.llm import bpe, language, mixing, negatives, neighbours, pii, ppm, quality, resampling, rules, simhash, toxicity, warc
 from sparkwarden.llm.common import table
 
 
@@ -69,11 +69,15 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_mixing, op4_quality, op5_language, op6_rules, op7_simhash, op8_ppm, op9_pii, op10_neighbours, op11_resampling, op13_negatives)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_mixing, op4_quality, op5_language, op6_rules, op7_simhash, op8_ppm, op9_pii, op10_neighbours, op11_resampling, op12_warc, op13_negatives)}
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op10_neighbours": neighbours.ORACLE, "op11_resampling": resampling.ORACLE, "op13_negatives": negatives.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op10_neighbours": neighbours.ORACLE, "op11_resampling": resampling.ORACLE, "op12_warc": warc.ORACLE, "op13_negatives": negatives.ORACLE}
