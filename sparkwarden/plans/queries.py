@@ -376,11 +376,12 @@ def stream_feedback(spark, sf_dir):
     from sparkwarden.streaming import jobs
 
     folder = shared(spark)
-    closes = read(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("id"), F.col("ts").alias("close_ts"))
+    events = read(spark, sf_dir, "events")
+    closes = events.where("event_type = 'purchase'").select(F.col("user_id").alias("id"), F.col("ts").alias("close_ts"))
     frames = dict(zip(("shown", "clicks", "closes"), (*shown_and_clicks(spark, sf_dir), closes)))
-    kind = read(spark, sf_dir, "events").schema["ts"].dataType
+    frames["ticks"] = events.agg((F.max("ts") + F.expr("interval 1 hour")).alias("ts"))  # time goes on after the last event
     for name, df in frames.items():
         df.write.parquet(f"{folder}/{name}")
     streams = [jobs.read_parquet_stream(spark, f"{folder}/{n}", "*.parquet") for n in frames]
-    jobs.feedback_stream(*streams, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").withColumn("timestamp", F.col("timestamp").cast(kind))
+    jobs.feedback_stream(*streams[:3], f"{folder}/out", f"{folder}/state", once=True, ticks=streams[3]).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").withColumn("timestamp", F.col("timestamp").cast(events.schema["ts"].dataType))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from sparkwarden.operators import scoring
 
-#: Kinds of events, in the order in which those of one time count.
-SHOWN, CLOSE, CLICK = 0, 1, 2
+#: Kinds of events, in the order in which those of one time count; a tick only says that time has passed.
+SHOWN, CLOSE, CLICK, TICK = 0, 1, 2, 3
 LIFE = 5 * 60 * 1_000_000  # microseconds that a notification lives
 
 
@@ -34,53 +34,111 @@ def score_stream(visits: DataFrame, model: Callable[[DataFrame], DataFrame], out
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-_FEEDBACK = "shown_id long, id long, url string, reported_label int, timestamp timestamp"
-#: Live notifications of an id: number, time, URL.
-_OPEN = "shown_id array<long>, shown_ts array<long>, url array<string>"
-
-
-def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One id's events in the order of their time: a notification opens, a close ends what is open, a click reports on all that is open and ends it."""
-    live = list(zip(*state.get)) if state.exists else []
-    rows = pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame()
-    said = []
-    for r in rows.sort_values(["ts", "kind", "button", "shown_id"]).itertuples(index=False) if len(rows) else ():
-        at = r.ts.value // 1000
-        live = [x for x in live if at < x[1] + LIFE]
-        if r.kind == SHOWN:
-            live.append((int(r.shown_id), at, r.url))
-        else:
-            if r.kind == CLICK:
-                said += [(x[0], key[0], x[2], 0 if r.button == 0 else 1, r.ts) for x in live if x[1] <= at]
-            live = [x for x in live if x[1] > at]
-    now = state.getCurrentWatermarkMs() * 1000
-    live = [x for x in live if x[1] + LIFE > now]
-    if live:
-        state.update(tuple(list(c) for c in zip(*live)))
-        state.setTimeoutTimestamp(max(x[1] + LIFE for x in live) // 1000 + 1)
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(said, columns=["shown_id", "id", "url", "reported_label", "timestamp"])
-
-
-def feedback_stream(shown: DataFrame, clicks: DataFrame, closes: DataFrame, out: str, checkpoint: str, late: str = "1 minute", once: bool = False) -> StreamingQuery:
-    """Feedback on notifications (shown_id, id, shown_ts, url) from clicks (id, click_ts, button) and closes (id, close_ts): one stateful operator.
-
-    The first click within five minutes reports, once; a close before it (or at its time) voids it. Events of a batch go by time, batches as they
-    arrive; what is open is forgotten when the watermark passes its five minutes. Rows without id or time are left out.
+_EVENT = "at long, kind int, button int, shown_id string, url string"
+_LIVE = "at long, shown_id string, url string"
+_SAID = "shown_id string, id string, url string, reported_label int, at long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def released(live: deque, events: list[tuple]) -> Iterator[tuple]:
+    """What one id's events, in the order of their time, report: a notification opens, a close ends what is open, a click reports on all that is open and ends it.
+
+    live holds the open notifications (at, shown_id, url), oldest first, and is left as it is after the last event. Yields (shown_id, url, label, at).
+    """
+    for at, kind, button, shown_id, url in events:
+        while live and live[0][0] + LIFE <= at:
+            live.popleft()
+        if kind == SHOWN:
+            live.append((at, shown_id, url))
+        if kind == CLICK:
+            yield from ((of, where, 0 if button == 0 else 1, at) for _, of, where in live)
+        if kind in (CLICK, CLOSE):
+            live.clear()
+
+
+class Feedback(StatefulProcessor):
+    """One id's events wait until the watermark has passed them, and so no earlier one can come; then they count in the order of their time.
+
+    Both states are lists: `waiting` is only appended to until something is due, `live` is what is open. A timer stands at the first
+    event that waits, or where the last notification ends.
     """
-    none = lambda t: F.lit(None).cast(t)
-    event = lambda df, ts, kind, number, url, button: df.select("id", F.col(ts).cast("timestamp").alias("ts"), F.lit(kind).alias("kind"), number.alias("shown_id"), url.alias("url"), button.alias("button"))
-    opened = event(shown, "shown_ts", SHOWN, F.col("shown_id"), F.col("url"), none("int"))
-    ended = event(closes, "close_ts", CLOSE, none("long"), none("string"), none("int"))
-    clicked = event(clicks, "click_ts", CLICK, none("long"), none("string"), F.col("button").cast("int"))
-    events = opened.unionByName(ended).unionByName(clicked).where("id is not null and ts is not null").withWatermark("ts", late)
-    records = events.groupBy("id").applyInPandasWithState(_follow, _FEEDBACK, _OPEN, "append", "EventTimeTimeout")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting, self.live = handle.getListState("waiting", _EVENT), handle.getListState("live", _LIVE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        events = [(r.at, r.kind, r.button, r.shown_id, r.url) for r in rows]
+        self.waiting.appendList(events)
+        self.handle.registerTimer(_timer(min(e[0] for e in events)))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = [tuple(e) for e in self.waiting.get()]
+        due = sorted((e for e in waiting if e[0] <= passed), key=_order)
+        live = deque(tuple(x) for x in self.live.get())
+        for shown_id, url, label, at in released(live, due):
+            yield Row(shown_id=shown_id, id=key[0], url=url, reported_label=label, at=at)
+        while live and live[0][0] + LIFE <= passed:
+            live.popleft()
+        left = [e for e in waiting if e[0] > passed]
+        for state, rows in ((self.waiting, left), (self.live, list(live))):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+        if left:
+            self.handle.registerTimer(_timer(min(e[0] for e in left)))
+        elif live:
+            self.handle.registerTimer(_timer(live[-1][0] + LIFE))
+
+    def close(self) -> None:
+        pass
+
+
+def _timer(at: int) -> int:
+    """The first millisecond that is not before a time in microseconds."""
+    return -(-at // 1000)
+
+
+def _order(e: tuple) -> tuple:
+    """By time, kind, then button and notification, nulls first."""
+    at, kind, button, shown_id, _ = e
+    return at, kind, button is not None, button or 0, shown_id is not None, shown_id or ""
+
+
+def feedback_stream(shown: DataFrame, clicks: DataFrame, closes: DataFrame, out: str, checkpoint: str, late: str = "1 minute", once: bool = False, ticks: DataFrame | None = None) -> StreamingQuery:
+    """Feedback on notifications (shown_id, id, shown_ts, url) from clicks (id, click_ts, button) and closes (id, close_ts), in the order of event time.
+
+    The first click within five minutes reports, once; a close before it (or at its time) voids it. However events arrive and whatever batches they fall in, the result is
+    that of the batch chain, as long as none comes later than `late` behind the newest; such rows are dropped, as everywhere in Spark. Reports come out when the watermark has
+    passed their click. ticks(ts) are times that pass without events: they move the watermark and nothing else. Ids are of any type that has a text form, and come back in the type
+    of `shown`. Rows without id or time are left out. State is kept by RocksDB; the session's own setting stays as it is.
+    """
+    spark, none = shown.sparkSession, lambda t: F.lit(None).cast(t)
+    event = lambda df, id_, ts, kind, number, url, button: df.select(id_.cast("string").alias("id"), F.col(ts).cast("timestamp").alias("ts"), F.lit(kind).alias("kind"), button.cast("int").alias("button"), number.cast("string").alias("shown_id"), url.cast("string").alias("url"))
+    events = event(shown, F.col("id"), "shown_ts", SHOWN, F.col("shown_id"), F.col("url"), none("int"))
+    events = events.unionByName(event(closes, F.col("id"), "close_ts", CLOSE, none("string"), none("string"), none("int")))
+    events = events.unionByName(event(clicks, F.col("id"), "click_ts", CLICK, none("string"), none("string"), F.col("button")))
+    if ticks is not None:
+        events = events.unionByName(event(ticks, F.lit(""), "ts", TICK, none("string"), none("string"), none("int")))
+    events = events.withWatermark("ts", late).where("id is not null and ts is not null").withColumn("at", F.unix_micros("ts"))
+    types = {c: shown.schema[c].dataType for c in ("shown_id", "id")}
+    said = events.groupBy("id").transformWithState(Feedback(), _SAID, "append", "eventTime")
+    records = said.select(*(F.col(c).cast(t).alias(c) for c, t in types.items()), "url", "reported_label", F.timestamp_micros("at").alias("timestamp"))
     writer = records.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)  # a query keeps the settings that it starts with
+    try:
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        spark.conf.set(key, before)
 
 
-def read_parquet_stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """A stream over the Parquet files of a folder that match a name pattern."""
+def read_parquet_stream(spark: SparkSession, folder: str, pattern: str, per_batch: int | None = None) -> DataFrame:
+    """A stream over the Parquet files of a folder that match a name pattern, at most `per_batch` of them a batch."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(folder)
