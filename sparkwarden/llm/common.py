@@ -21,6 +21,14 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string")) % folds
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a temporary one is set only if the session has none and runs on one machine, else ValueError."""
     sc = spark.sparkContext

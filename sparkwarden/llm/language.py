@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import fold
+from sparkwarden.llm.common import fold, fresh
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -106,22 +106,25 @@ def document_frequencies(docs: DataFrame, dims: int) -> tuple[np.ndarray, int]:
     return total[:dims], int(total[dims])
 
 
-def train(docs: DataFrame, learn: Column, dims: int = 4096, centroids: int = 6, sample: int = 1500, share: float = 0.002, slack: float = 0.8) -> Centroids:
+def train(docs: DataFrame, learn: Column, dims: int = 4096, centroids: int = 6, sample: int = 1500, share: float = 0.002, slack: float = 0.8, most_langs: int = 1000) -> Centroids:
     """Learn from text and non-null lang of the rows of docs where `learn` holds.
 
     sample bounds the different labelled texts that each language's centroids are clustered from, and as many others that the floors
-    are fitted on (about so many, chosen by a hash of the text); document frequencies cover every learnable row. Of the latter texts in each bin of
-    SIZES the floor is slack times the `share` quantile of their cosines with the nearest centroid. A language of under 50 rows gives all to its centroids.
+    are fitted on; document frequencies cover every learnable row. Texts are chosen by a hash, at a share that follows from how many *different* texts a
+    language has (counted by a sketch), so copies neither take places nor hide a language that has few. Of the latter texts in each bin of
+    SIZES the floor is slack times the `share` quantile of their cosines with the nearest centroid. A language of under 50 different texts gives all to its centroids.
+    The model holds at most `most_langs` languages, those with most different texts, ties by name: lang may be dirty.
     """
-    known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), learn.alias("_learn")).where("_learn and lang is not null and text is not null")
+    known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), learn.alias("learn")).where("learn and lang is not null and text is not null")
     df, n = document_frequencies(known, dims)
     idf = np.log((1 + n) / (1 + df)) + 1
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    parts = [(lang, min(1_000_000, int(2_000_000 * sample / m) + 1), m < 50) for lang, m in sizes.items()]
-    parts = known.sparkSession.createDataFrame(parts or [("", 0, True)], "lang string, share int, few boolean")
     place = F.xxhash64(F.lit("sample"), F.col("text"))
-    chosen = known.join(F.broadcast(parts), "lang").where(F.pmod(place, F.lit(1_000_000)) < F.col("share"))
-    chosen = chosen.select("lang", "text", (F.col("few") | (F.pmod(F.shiftright(place, 32), F.lit(2)) == 0)).alias("_fit")).distinct()  # copies count once
+    lettered = known.where(F.col("text").rlike(r"\p{L}")).select("lang", "text", place.alias("place"))
+    different = lettered.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    parts = [(r.lang, min(1_000_000, int(2_000_000 * sample / r.n) + 1), r.n < 50) for r in different]
+    parts = known.sparkSession.createDataFrame(parts or [("", 0, True)], "lang string, share int, few boolean")
+    chosen = lettered.join(F.broadcast(parts), "lang").where(F.pmod("place", F.lit(1_000_000)) < F.col("share"))  # at most most_langs rows
+    chosen = chosen.select("lang", "text", (F.col("few") | (F.pmod(F.shiftright("place", 32), F.lit(2)) == 0)).alias("fit")).distinct()  # copies count once
 
     def fit(x: pd.DataFrame) -> pd.DataFrame:
         v, _ = vectors(x["text"].tolist(), idf)
@@ -129,14 +132,12 @@ def train(docs: DataFrame, learn: Column, dims: int = 4096, centroids: int = 6,
         c = cluster(v, centroids) if len(v) else []
         return pd.DataFrame({"lang": x["lang"].iloc[0], "centre": [r.astype(np.float32).tobytes() for r in c]})
 
-    found = chosen.where("_fit").groupBy("lang").applyInPandas(fit, "lang string, centre binary").collect()
-    if missing := sizes.keys() - {r.lang for r in found}:  # languages whose few different texts all fell to the floors
-        found += chosen.where(F.col("lang").isin(*missing)).groupBy("lang").applyInPandas(fit, "lang string, centre binary").collect()
+    found = chosen.where("fit").groupBy("lang").applyInPandas(fit, "lang string, centre binary").collect()
     rows = sorted(found, key=lambda r: (r.lang, bytes(r.centre)))
     centres = np.stack([np.frombuffer(r.centre, np.float32) for r in rows]) if rows else np.zeros((0, dims), np.float32)
     model = Centroids(idf, [r.lang for r in rows], centres)
     if rows:
-        model.floor = floors(chosen.where("not _fit"), model, share, slack)
+        model.floor = floors(chosen.where("not fit"), model, share, slack)
     return model
 
 
@@ -177,4 +178,5 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
             yield pd.DataFrame({"lang_pred": sum(langs, []), "lang_score": np.concatenate(score), "lang_rejected": np.concatenate(far)})
 
     once = of.asNondeterministic()  # else a filter on a result has every text looked at twice, by two workers at a time
-    return docs.select(*kept, once(F.col("text").cast("string")).alias("_l")).select(*kept, "_l.*")
+    name = fresh(docs, "found")
+    return docs.select(*kept, once(F.col("text").cast("string")).alias(name)).select(*kept, f"{name}.*")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import SPACE, WORD, cut
+from sparkwarden.llm.common import SPACE, WORD, cut, fresh
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -35,9 +35,10 @@ def running(df: DataFrame, order: list[Column], value: Column, name: str) -> Dat
     return rows.join(F.broadcast(before), "_p").withColumn(name, (inside + F.col("_base")).cast("long")).drop("_n", "_p", "_v", "_base")
 
 
-def of_source(df: DataFrame, facts: DataFrame, *names: str) -> DataFrame:
-    """df with the named facts of its source; a null source is a source."""
+def of_source(df: DataFrame, facts: DataFrame, *names: str, most_sent: int = 100_000) -> DataFrame:
+    """df with the named facts of its source; a null source is a source. Facts go to all rows by broadcast if they are at most `most_sent`, since few sources would be few tasks, else by a shuffle."""
     found = facts.select(F.col("source").alias("_s"), *names)
+    found = found.hint("broadcast" if facts.count() <= most_sent else "merge")
     return df.join(found, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
 
@@ -141,7 +142,7 @@ def mixed_sizes(docs: DataFrame, **settings) -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame, slots: bool = False, **settings) -> DataFrame:
-    """The mixed corpus with the columns of docs: a row for each row of docs and pass that takes words of it; with slots also `slot`, its first one: the order of the mix.
+    """The mixed corpus with the columns of docs: a row for each row of docs and pass that takes words of it; with slots also its first one, the order of the mix, in a last column `slot` (underscores follow if docs has one of that name).
 
     A row that a pass takes whole keeps its text as it is; one that a pass takes in part keeps those words, space-joined.
     Rows without words have nothing to take. Null and repeated doc_ids keep each row's own words, since rows go by a number of their own.
@@ -157,7 +158,7 @@ def mixed_texts(docs: DataFrame, slots: bool = False, **settings) -> DataFrame:
     if "n_chars" in docs.columns:
         made["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
     made["text"] = F.col("_text")
-    return out.select(*(made.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns), *([F.col("slot")] if slots else []))
+    return out.select(*(made.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns), *([F.col("slot").alias(fresh(docs, "slot"))] if slots else []))
 
 
 #: DuckDB's SQL for op3: words by source in the order of the key, targets by the level at which water fills the capped sources, and the slot of each block.

@@ -300,7 +300,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Null texts stay null; rows without spans stay as they are.
     """
-    scans = cut(scanned(docs))  # each text is scanned once; the table written holds texts and spans
+    rest = [c for c in docs.columns if c != "text"]
+    own = docs.select("text", F.struct(*rest, F.lit(0).alias("nothing")).alias("rest"))  # columns of any name
+    scans = cut(scanned(own))  # each text is scanned once; the table written holds texts and spans
     kind = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     marked = scans.withColumn("_pii", accepted(classifier(scans)))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
@@ -313,7 +315,9 @@ def redact(docs: DataFrame) -> DataFrame:
     def end(t: Column) -> Column:
         return F.concat(t["out"], F.substring(F.col("text"), t["at"] + 1, F.lit(2**31 - 1)))
 
-    out = marked.withColumn("text", F.when(F.size("_pii") > 0, F.aggregate("_pii", start, step, end)).otherwise(F.col("text")))
+    made = {"text": F.when(F.size("_pii") > 0, F.aggregate("_pii", start, step, end)).otherwise(F.col("text"))}
+    out = marked.withColumn("text", made["text"])
+    made["text"] = F.col("text")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(made.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))

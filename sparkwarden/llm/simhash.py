@@ -31,12 +31,31 @@ from sparkwarden.llm.common import components, cut, join_hot
 BITS = 64
 STEP = 1 << 15
 LEAF = 128
-#: Settings for near copies by similarity: 128 bits over shingles of five words.
-COPIES = {"width": 5, "words": 2, "similarity": 0.8}
+#: Settings for near copies by similarity: 512 bits over shingles of five words.
+COPIES = {"width": 5, "words": 8, "similarity": 0.8}
+#: Deviations beyond what the similarity makes differ that still link: 0.93 of pairs at the very similarity lie within.
+SLACK = 1.5
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose bits look independent of the input's (shifts and multiplications of the SplitMix64 generator)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _digests(texts: list[bytes], seed: int, words: int) -> np.ndarray:
+    """Hash bits of each text, as rows of bytes: XXH64 for one number, else XXH3's two, and further ones mixed from both."""
+    if words == 1:
+        digest = xxhash.xxh64_intdigest
+        return np.fromiter((digest(t, seed) for t in texts), np.uint64, len(texts)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    two = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<u8").reshape(-1, 2)
+    more = [_mixed(two[:, 0] + np.uint64(k) * (two[:, 1] | np.uint64(1))) for k in range(1, words - 1)]
+    return np.concatenate([two, *(m[:, None] for m in more)], 1).astype("<u8").view(np.uint8).reshape(len(texts), -1)
 
 
 def text_fingerprint(text: str | None, width: int = 4, seed: int = 42, words: int = 1) -> np.ndarray:
-    """SimHash of one text over its shingles of `width` words, in one (XXH64) or two (XXH3) numbers of 64 bits; 0 for a text without words."""
+    """SimHash of one text over its shingles of `width` words, in `words` numbers of 64 bits; 0 for a text without words. One number takes XXH64 with the seed, more take XXH3."""
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not found:
         return np.zeros(words, np.uint64)
@@ -47,15 +66,11 @@ def text_fingerprint(text: str | None, width: int = 4, seed: int = 42, words: in
     last = (ends[len(found) - n :] - 1).tolist()
     first = starts[:n].tolist()
     ones = np.zeros(BITS * words, np.int64)
-    for k in range(0, n, STEP):
-        places = zip(first[k : k + STEP], last[k : k + STEP])
-        if words == 1:
-            digest = xxhash.xxh64_intdigest
-            raw = np.fromiter((digest(joined[s:e], seed) for s, e in places), np.uint64).astype("<u8").view(np.uint8)
-        else:
-            digest = xxhash.xxh3_128_digest
-            raw = np.frombuffer(b"".join(digest(joined[s:e], seed) for s, e in places), np.uint8)
-        ones += np.unpackbits(raw.reshape(-1, 8 * words), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for k in range(0, n, STEP // words):
+        raw = _digests([joined[s:e] for s, e in zip(first[k : k + STEP // words], last[k : k + STEP // words])], seed, words)
+        bits = np.unpackbits(raw, axis=1, bitorder="little")
+        for s in range(0, len(bits), 255):  # so many ones fit a byte
+            ones += bits[s : s + 255].sum(0, dtype=np.uint8)
     return np.packbits(2 * ones > n, bitorder="little").view("<u8")
 
 
@@ -103,9 +118,9 @@ def differing(similarity: float) -> float:
 
 
 def radius_of(similarity: float, bits: int) -> int:
-    """Bits that differ at the similarity, and one deviation more."""
+    """Bits that differ at the similarity, and SLACK deviations more."""
     p = differing(similarity)
-    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
 
 
 def sampled_masks(count: int, bits: int, similarity: float, shard: int = 1024, recall: float = 0.97, seed: int = 7) -> list[int]:
@@ -274,13 +289,13 @@ def links(prints: DataFrame, radius: int = 4, shard: int = 1024, chunk: int = 20
 
 
 def grouped(prints: DataFrame, words: int, radius: int, similarity: float | None) -> DataFrame:
-    """prints(doc_id, w0, ..., fp, ...) with component_id."""
+    """prints(doc_id, w0, ..., fp, ...) with component_id (smallest doc_id) and root, which names the component even if no doc_id does."""
     nodes = cut(prints.groupBy("fp", *names(words)).agg(F.min("doc_id").alias("rep")))
     roots = components(links(nodes.select(*names(words)), radius, similarity=similarity)).withColumnRenamed("node", "fp")
     placed = cut(nodes.join(roots, "fp"))
     least = placed.groupBy("root").agg(F.min("rep").alias("low"))
-    inside = join_hot(placed.select("fp", "root"), least, "root").select("fp", "low")
-    named = cut(nodes.join(inside, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id")))
+    inside = join_hot(placed.select("fp", "root"), least, "root").select("fp", "low", "root")
+    named = cut(nodes.join(inside, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), F.coalesce("root", "fp").alias("root")))
     return join_hot(prints, named, "fp")
 
 
@@ -298,15 +313,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
 
 
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, words: int = 1, similarity: float | None = None) -> DataFrame:
-    """The documents without near copies: of each component a row with the smallest doc_id stays.
+    """The documents without near copies: of each component a row with the smallest doc_id stays, or with a null one if none has another.
 
     Rows of one doc_id with different texts are told apart by a hash of the text: each goes or stays with its own component, and of
-    several in one component one stays. Rows with a null doc_id stay, since no component can name them.
+    several in one component one stays. Columns of any name come through as they are.
     """
     key = F.xxhash64(F.col("text").cast("string"))
-    prints = cut(fingerprints(docs.withColumn("_key", key).where("doc_id is not null"), width, seed, words, "_key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("print"), F.struct("*").alias("doc"))
+    prints = cut(fingerprints(docs.select("doc_id", "text", key.alias("print")), width, seed, words, "print"))
     found = grouped(prints, words, radius_of(similarity, BITS * words) if similarity else radius, similarity)
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id"), "component_id").agg(F.min("_key").alias("_k")).drop("component_id")
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_k"))
-    rows = docs.withColumn("_key", key).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return rows.unionByName(docs.where("doc_id is null"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print"))
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("of"), F.col("first.print").alias("own"))
+    kept = rows.join(kept, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("own")), "left_semi")
+    return kept.dropDuplicates(["id", "print"]).select("doc.*")

@@ -20,7 +20,8 @@ ODD = [
 
 def odd(spark):
     """Nulls, empty and long texts, ties, repeated rows, and a clashing extra column of every name that operators use inside."""
-    extra = ["score", "size", "fp", "a", "b", "target", "taken", "n_words", "kept", "held_out", "spans", "lang_pred", "row", "at"]
+    extra = ["score", "size", "fp", "a", "b", "target", "taken", "n_words", "kept", "held_out", "spans", "lang_pred", "row", "at", "slot", "doc", "id", "print", "root", "found", "learn", "rest", "nothing", "file"]
+    extra += ["_key", "_id", "_k", "_l", "_learn", "_pii", "_p", "_s", "_h", "_d", "_n", "_v", "_at", "_q", "_toxic", "_votes", "_words", "_text", "_pairs", "_runs", "_llr", "_trusted", "_clean", "_base", "_all"]
     df = spark.createDataFrame(ODD, DOCS)
     return df.selectExpr("*", *(f"'x' as `{x}`" for x in extra))
 

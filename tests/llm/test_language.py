@@ -107,3 +107,18 @@ def test_odd_rows_and_nothing_to_learn(spark):
     none = language.train(empty, F.lit(True))
     assert language.identify(empty, none).collect() == []
     assert {r.lang_pred for r in language.identify(table, none).collect()} == {"und"}
+
+
+def test_languages_of_few_texts_beside_many(spark):
+    """50 000 rows of one language in four different texts, and one of few rows, stay in the model beside one of 10 000 different texts; so does one whose texts mostly lack letters."""
+    rng = np.random.default_rng(1)
+    words = {k: ["".join(rng.choice(list(letters), 5)) for _ in range(300)] for k, letters in {"en": "abcdefgh", "fi": "ijklmnop", "sv": "qrstuvwx", "no": "yzæøåäöü"}.items()}
+    some = lambda k: " ".join(rng.choice(words[k], 30))
+    rows = [("fi", t) for t in [some("fi") for _ in range(4)] for _ in range(12_500)] + [("en", some("en")) for _ in range(10_000)] + [("sv", some("sv")) for _ in range(3)]
+    rows += [("no", str(k)) for k in range(9_000)] + [("no", some("no")) for _ in range(7)]
+    table = spark.createDataFrame(rows, "lang string, text string").repartition(8)
+    model = language.train(table, F.lit(True))
+    assert set(model.langs) == {"en", "fi", "sv", "no"}
+    langs, _, far = model.predict([some(k) for k in ("fi", "en", "sv", "no") for _ in range(5)] + [rows[0][1]])
+    assert langs == [k for k in ("fi", "en", "sv", "no") for _ in range(5)] + ["fi"] and not far[-1]
+    assert set(language.train(table, F.lit(True), most_langs=2).langs) == {"en", "no"}

@@ -28,6 +28,9 @@ def test_stages_take_effect(spark, sf_dir):
     assert mixed.columns == columns
     words = mixed.select(F.sum(mixing.size_of(F.col("text")))).first()[0]
     assert words == mixing.mixed_sizes(clean).agg(F.sum("taken")).first()[0]
+    order = mixing.mixed_texts(clean, slots=True).orderBy("slot", "doc_id").collect()
+    assert [(r.doc_id, r.text) for r in mixed.collect()] == [(r.doc_id, r.text) for r in order] and len({r.slot for r in order}) > 10
+    assert [r.source for r in order[:60]] != sorted(r.source for r in order[:60])  # sources take turns
     done = kept["bpe"](spark, mixed, sf_dir)
     texts = sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in mixed.collect())
     assert sorted(r.decoded_sha256 for r in done.collect()) == texts
@@ -40,7 +43,7 @@ def shingles(text):
 
 
 def test_near_dedup_against_plain_similarity(spark):
-    """Held against all pairs: copies at 0.85 and over go, and whatever goes is near one that stays."""
+    """Held against all pairs: copies at 0.8 and over go, and whatever goes is near one that stays."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: shingles(r.text or "") for r in docs.collect()}
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()}
@@ -50,9 +53,11 @@ def test_near_dedup_against_plain_similarity(spark):
             holders.setdefault(x, []).append(i)
     shared = Counter((a, b) for ids in holders.values() for a, b in combinations(sorted(ids), 2))
     like = {p: n / len(texts[p[0]] | texts[p[1]]) for p, n in shared.items()}
-    near = [p for p, s in like.items() if s >= 0.85]
+    near = [p for p, s in like.items() if s >= 0.8]
     assert len(near) > 20
     assert sum(a in kept and b in kept for a, b in near) <= 0.03 * len(near)
+    edge = [p for p in near if like[p] < 0.85]
+    assert sum(a in kept and b in kept for a, b in edge) <= 0.1 * len(edge)
     best = {i: max((s for p, s in like.items() if i in p), default=0) for i in texts.keys() - kept}
     assert sum(s < 0.6 for s in best.values()) <= 0.02 * len(best)
 
