@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,11 @@ def distinct_grams(s: Column, width: int) -> Column:
 
 def tokens(s: Column, at: str) -> Column:
     return F.array_remove(F.split(s, at), "")
+
+
+def fresh(df: DataFrame, prefix: str) -> str:
+    """A prefix for working columns that no column of df begins with."""
+    prefix = f"_{prefix}_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix

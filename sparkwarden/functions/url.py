@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwarden.functions.hosts import ascii_host, folds_to
+from sparkwarden.functions.text import fresh
+
 SPLIT = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 #: Schemes whose last path segment may carry ;parameters.
 WITH_PARAMETERS = ("", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtspu", "sip", "sips", "mms", "sftp", "tel")
-#: Characters that fold to / ? # @ : under NFKC and so make a host invalid.
-UNSAFE = "[℀℁℅℆⁇⁈⁉︓︖﹕﹖﹟﹫／：？＃＠]"
 #: Public suffixes known without a list at hand; a fuller table can be given as a path.
 SUFFIXES = tuple("com org net edu gov mil int info biz name io ai app dev me tv cc co us uk de fr es it nl be ch at se no dk fi pl pt ru cn jp in br au ca mx eu xyz tk ml ga cf gq ly gl do gd ac cm cy st tt ae".split()) + (
     "co.uk", "org.uk", "ac.uk", "gov.uk", "com.br", "net.br", "org.br", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "co.in", "co.nz", "co.za", "com.cn", "com.mx", "com.tr", "com.ar", "*.ck", "!www.ck",
@@ -22,17 +23,30 @@ def with_scheme(url: Column) -> Column:
     return F.when(bare, F.concat(F.lit("http://"), url)).otherwise(url)
 
 
-def suffix_rules(spark: SparkSession, path: str | None = None) -> tuple[str, ...]:
-    """Rules of the suffix table: one a line as in the public list, comments and blank lines left out; bounded by that list's size."""
-    if path is None:
-        return SUFFIXES
-    rows = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> '' and v not like '//%'")
-    return tuple(sorted(r.v for r in rows.distinct().collect()))
+def _listed(spark: SparkSession, path: str, private: bool) -> DataFrame:
+    """v: the rules of a file in the public list's format, lower-case, each also in its ASCII form. The file is one row, so its lines keep their order and its sections their marks; it is bounded by that list's size.
+
+    Comments and blank lines go, and what follows white space in a line. The section of private domains counts only if asked for; it runs from its mark to its end mark or the end of the file.
+    """
+    text = F.regexp_replace("value", r"\r\n?", "\n")
+    if not private:
+        text = F.regexp_replace(text, r"(?s)//[ \t]*===BEGIN PRIVATE DOMAINS===.*?(//[ \t]*===END PRIVATE DOMAINS===|$)", "")
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split(text, "\n")).alias("line"))
+    rule = lines.select(F.lower(F.regexp_extract("line", r"^\s*(\S+)", 1)).alias("v")).where("v <> '' and v not like '//%'")
+    return rule.select(F.explode(F.array("v", ascii_host(F.col("v")))).alias("v")).distinct()
+
 
+def suffix_rules(spark: SparkSession, path: str | None = None, private: bool = False) -> tuple[str, ...]:
+    """Rules of the suffix list at a path (see suffix_table) for use as literals, or the built-in ones; for short lists."""
+    return SUFFIXES if path is None else tuple(sorted(r.v for r in _listed(spark, path, private).collect()))
 
-def suffix_table(spark: SparkSession, path: str) -> DataFrame:
-    """The suffix table as (ends, kind): what a host must end with, lower-case, and whether the rule is plain, wild or an exception (but)."""
-    rule = spark.read.text(path).select(F.lower(F.trim("value")).alias("v")).where("v <> '' and v not like '//%'").distinct()
+
+def suffix_table(spark: SparkSession, path: str, private: bool = False) -> DataFrame:
+    """The suffix list as (ends, kind): what a host must end with, lower-case, in Unicode and ASCII form, and whether the rule is plain, wild or an exception (but).
+
+    Rules of the list's private section count only with private.
+    """
+    rule = _listed(spark, path, private)
     kind = F.when(F.col("v").startswith("*."), "wild").when(F.col("v").startswith("!"), "but").otherwise("plain")
     return rule.select(F.regexp_replace("v", r"^(\*\.|!)", "").alias("ends"), kind.alias("kind"))
 
@@ -40,27 +54,29 @@ def suffix_table(spark: SparkSession, path: str) -> DataFrame:
 def parsed(df: DataFrame, url_col: str = "url", rules: tuple[str, ...] | DataFrame = SUFFIXES) -> DataFrame:
     """df with u: struct of url, scheme, domain, path, query, fragment, subdomain, registered, suffix.
 
-    The text itself is kept as u.url; nulls give null parts. A host with unmatched brackets or unsafe characters falls back
-    to a cut at the first slash. A few suffix rules are literals of the plan; a full list is given as a suffix_table and joined.
+    The text itself is kept as u.url; nulls give null parts. A host with unmatched brackets, or characters that compatibility folding turns into / ? # @ or :, falls back
+    to a cut at the first slash. A few suffix rules are literals of the plan; a full list is given as a suffix_table and joined. Working columns are plain ones and used by several
+    others, so that each stays a step of its own and the generated code small.
     """
+    p = fresh(df, "url")
+    c = lambda k: F.col(f"{p}{k}")
     url = F.col(url_col).cast("string")
-    clean = F.regexp_replace(F.regexp_replace(with_scheme(url), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    df = df.withColumn("_clean", clean)
-    part = lambda k: F.regexp_extract("_clean", SPLIT, k)
-    df = df.withColumn("_p", F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("netloc"), part(3).alias("path"), part(4).alias("query"), part(5).alias("fragment")))
-    netloc = F.col("_p.netloc")
-    bad = (netloc.contains("[") != netloc.contains("]")) | netloc.rlike(UNSAFE)
-    path = F.when(F.col("_p.scheme").isin(*WITH_PARAMETERS), F.regexp_replace("_p.path", ";[^/]*$", "")).otherwise(F.col("_p.path"))
+    df = df.withColumn(f"{p}clean", F.regexp_replace(F.regexp_replace(with_scheme(url), r"^[\x00-\x20]+", ""), r"[\t\r\n]", ""))
+    part = lambda k: F.regexp_extract(c("clean"), SPLIT, k)
+    df = df.withColumns({f"{p}scheme": F.lower(part(1)), f"{p}netloc": part(2), f"{p}path": part(3), f"{p}query": part(4), f"{p}fragment": part(5)})
+    df = df.withColumn(f"{p}bad", (c("netloc").contains("[") != c("netloc").contains("]")) | c("netloc").rlike(f"[{folds_to('/?#@:')}]"))
+    path = F.when(c("scheme").isin(*WITH_PARAMETERS), F.regexp_replace(c("path"), ";[^/]*$", "")).otherwise(c("path"))
     rest = F.when(url.contains("/"), F.concat(F.lit("/"), F.regexp_replace(url, "(?s)^[^/]*/", ""))).otherwise("")
-    df = df.withColumn("_s", F.when(bad, F.struct(F.lit("http").alias("scheme"), F.substring_index(url, "/", 1).alias("netloc"), rest.alias("path"), F.lit("").alias("query"), F.lit("").alias("fragment"), F.lit(True).alias("bad"))).otherwise(
-        F.struct(F.when(F.col("_p.scheme") == "", "http").otherwise(F.col("_p.scheme")).alias("scheme"), netloc.alias("netloc"), path.alias("path"), F.col("_p.query").alias("query"), F.col("_p.fragment").alias("fragment"), F.lit(False).alias("bad"))))
-    host = F.regexp_replace(F.regexp_replace(F.when(F.col("_s.bad"), "").otherwise(F.col("_s.netloc")), "^.*@", ""), r":\d*$", "")
-    df = df.withColumn("_h", host)
-    df = with_registered(df, "_h", rules) if isinstance(rules, DataFrame) else df.withColumn("_d", registered(F.col("_h"), rules))
-    joined = F.regexp_replace(F.concat_ws(".", "_d.subdomain", "_d.registered", "_d.suffix"), r"^\.+|\.+$", "")
-    domain = F.when((F.col("_s.netloc") != "") | F.col("_s.bad"), F.col("_s.netloc")).otherwise(joined)
-    u = F.struct(url.alias("url"), F.col("_s.scheme").alias("scheme"), domain.alias("domain"), F.col("_s.path").alias("path"), F.col("_s.query").alias("query"), F.col("_s.fragment").alias("fragment"), F.col("_d.subdomain").alias("subdomain"), F.col("_d.registered").alias("registered"), F.col("_d.suffix").alias("suffix"))
-    return df.withColumn("u", u).drop("_clean", "_p", "_s", "_h", "_d")
+    unless = lambda good, bad: F.when(c("bad"), bad).otherwise(good)
+    host = F.regexp_replace(F.regexp_replace(c("netloc"), "^.*@", ""), r":\d*$", "")
+    df = df.withColumns({f"{p}host": unless(host, ""), f"{p}at": unless(c("netloc"), F.substring_index(url, "/", 1))})
+    df = with_registered(df, f"{p}host", rules, f"{p}name") if isinstance(rules, DataFrame) else df.withColumn(f"{p}name", registered(c("host"), rules))
+    joined = F.regexp_replace(F.concat_ws(".", f"{p}name.subdomain", f"{p}name.registered", f"{p}name.suffix"), r"^\.+|\.+$", "")
+    domain = F.when((c("at") != "") | c("bad"), c("at")).otherwise(joined)
+    scheme = F.when(c("bad") | (c("scheme") == ""), "http").otherwise(c("scheme"))
+    u = {"url": url, "scheme": scheme, "domain": domain, "path": unless(path, rest), "query": unless(c("query"), ""), "fragment": unless(c("fragment"), "")}
+    whole = F.struct(*(v.alias(k) for k, v in u.items()), *(F.col(f"{p}name.{k}").alias(k) for k in ("subdomain", "registered", "suffix")))
+    return df.withColumn("u", whole).drop(*(f"{p}{k}" for k in ("clean", "scheme", "netloc", "path", "query", "fragment", "bad", "host", "at", "name")))
 
 
 def _once(value: Column, then) -> Column:
@@ -102,19 +118,20 @@ def registered(host: Column, rules: tuple[str, ...] = SUFFIXES) -> Column:
     return F.when(_numeric(host), _alone(host)).otherwise(_once(F.split(host, r"\."), lambda v: _once(_once(_ends(v), place), lambda at: _split(v, at))))
 
 
-def with_registered(df: DataFrame, host: str, rules: DataFrame, most_sent: int = 200_000) -> DataFrame:
-    """df with _d, as registered(host) gives it, by rules of suffix_table: each distinct host is looked up once.
+def with_registered(df: DataFrame, host: str, rules: DataFrame, name: str = "registered", most_sent: int = 200_000) -> DataFrame:
+    """df with `name`, as registered(host) gives it, by rules of suffix_table: each distinct host is looked up once.
 
     Up to `most_sent` rules go to the hosts' endings by broadcast, more by a shuffle. Hosts come back to their rows by a join that is split
     at run time where one host is hot. A null host gives a null suffix place and so null parts; no rules leave every suffix empty.
     """
-    hosts = df.select(F.col(host).alias("_host")).distinct()
-    ends = hosts.where(~_numeric(F.col("_host"))).select("_host", F.posexplode(_ends(F.split("_host", r"\."))).alias("_j", "ends"))
+    own = fresh(df, "host")
+    hosts = df.select(F.col(host).alias("h")).distinct()
+    ends = hosts.where(~_numeric(F.col("h"))).select("h", F.posexplode(_ends(F.split("h", r"\."))).alias("j", "ends"))
     ruled = rules.select("ends", "kind").distinct()
     hits = ends.join(ruled.hint("broadcast" if ruled.count() <= most_sent else "merge"), "ends")
-    j, kind = F.col("_j"), F.col("kind")
+    j, kind = F.col("j"), F.col("kind")
     hit = F.min(F.when(kind == "plain", j).when((kind == "wild") & (j > 0), j - 1))
-    at = hits.groupBy(F.col("_host").alias("_of")).agg(F.coalesce(F.max(F.when(kind == "but", j + 1)), hit).alias("_at"))
-    labels = F.split("_host", r"\.")
-    found = hosts.join(at, F.col("_host") == F.col("_of"), "left").select("_host", F.when(_numeric(F.col("_host")), _alone(F.col("_host"))).otherwise(_split(labels, F.coalesce("_at", F.size(labels)))).alias("_d"))
-    return df.join(found, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    at = hits.groupBy(F.col("h").alias("of")).agg(F.coalesce(F.max(F.when(kind == "but", j + 1)), hit).alias("at"))
+    labels = F.split("h", r"\.")
+    found = hosts.join(at, F.col("h") == F.col("of"), "left").select(F.col("h").alias(own), F.when(_numeric(F.col("h")), _alone(F.col("h"))).otherwise(_split(labels, F.coalesce("at", F.size(labels)))).alias(name))
+    return df.join(found, F.col(host).eqNullSafe(F.col(own)), "left").drop(own)

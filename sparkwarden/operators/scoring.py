@@ -14,6 +14,8 @@ TRUSTED = (
 )
 MODEL_TYPE = "urlset_ensemble"
 ALIVE = "5 minutes"
+#: Records of the prediction log.
+LOG = "url string, prediction int, probability double, model_type string, timestamp timestamp"
 
 
 def completed(events: DataFrame) -> DataFrame:

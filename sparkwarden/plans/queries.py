@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from sparkwarden.functions.text import tokens
 from sparkwarden.functions.url import SPLIT, SUFFIXES, parsed, with_scheme
 from sparkwarden.operators import matrix, models, scoring
 from sparkwarden.operators.features import BRANDS, COUNTED, MATRIX, SECURITY_TERMS, TERMS, features
+from sparkwarden.sources import io, logs
 from sparkwarden.sources.io import label_distribution
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,6 +269,80 @@ def prediction_log(spark, sf_dir):
     return scoring.prediction_log(scoring.score(visits(spark, sf_dir), stand_in, NET), F.col("ts"))
 
 
+_DIRTY = """SELECT CASE page_id % 8 WHEN 1 THEN 'too many fields' WHEN 2 THEN 'missing value' WHEN 3 THEN 'missing value' WHEN 4 THEN 'bad label' WHEN 6 THEN 'missing value' ELSE 'loaded' END AS outcome,
+  CASE WHEN page_id % 8 NOT IN (1, 2) THEN url END AS domain, CAST(CASE page_id % 8 WHEN 0 THEN page_id % 3 WHEN 5 THEN 1 WHEN 7 THEN page_id % 3 END AS INT) AS label,
+  CASE page_id % 8 WHEN 1 THEN url || ',' || page_id % 3 || ',x,y' WHEN 4 THEN 'abc' END AS text FROM pages"""
+
+
+def dirty_csv(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Pages as lines (domain, label, extra) of CSV files: good ones, too many fields, no domain, no label, a label that is no number, a fraction, NaN, too few fields."""
+    k = F.col("page_id") % 8
+    label = F.when(k == 3, "").when(k == 4, "abc").when(k == 5, "1.0").when(k == 6, "nan").otherwise((F.col("page_id") % 3).cast("string"))
+    lines = pages(spark, sf_dir).select(F.concat(F.when(k != 2, F.col("url")).otherwise(""), F.lit(","), label, F.when(k == 1, ",x,y").when(k == 7, "").otherwise(",x")).alias("value"))
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["domain,label,extra"]})
+        yield from batches
+
+    lines.mapInPandas(headed, "value string").write.text(folder)
+
+
+@registered(_DIRTY)
+def csv_load(spark, sf_dir):
+    """Every line of a dirty CSV file: what was loaded, and what was not with its reason."""
+    folder = shared(spark)
+    dirty_csv(spark, sf_dir, f"{folder}/csv")
+    rows, rejects, _ = io.load_labelled(spark, f"{folder}/csv", f"{folder}/loaded")
+    loaded = rows.select(F.lit(io.LOADED).alias("outcome"), "domain", "label", F.lit(None).cast("string").alias("text"))
+    return loaded.unionByName(rejects.withColumn("label", F.lit(None).cast("int")))
+
+
+@registered(f"WITH d AS ({_DIRTY}) SELECT 'lines' AS outcome, count(*) AS n FROM d UNION ALL SELECT outcome, count(*) FROM d GROUP BY outcome")
+def csv_load_counts(spark, sf_dir):
+    """The counters of the same load, seen while it wrote."""
+    folder = shared(spark)
+    dirty_csv(spark, sf_dir, f"{folder}/csv")
+    *_, counts = io.load_labelled(spark, f"{folder}/csv", f"{folder}/loaded")
+    return spark.createDataFrame(list(counts.items()), "outcome string, n long")
+
+
+@registered("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract(url, '^https?://[^/?#]*(.*)$', 1) AS rest FROM pages)
+SELECT page_id, CASE page_id % 6 WHEN 2 THEN host || rest WHEN 3 THEN 'ftp://' || host || rest WHEN 5 THEN scheme || '://xn--bcher-kva.' || host || rest ELSE url END AS url, CASE page_id % 6 WHEN 2 THEN 'no scheme' WHEN 3 THEN 'scheme' END AS reason FROM p""")
+def request_urls(spark, sf_dir):
+    """Requests for all pages, written in other ways: in upper case, with the default port, without or with another scheme, with dot segments, under a host beyond ASCII."""
+    part = lambda k: F.regexp_extract("url", "^(https?)://([^/?#]*)(.*)$", k)
+    k, scheme, host, rest = F.col("page_id") % 6, part(1), part(2), part(3)
+    port = F.when(scheme == "https", ":443").otherwise(":80")
+    put = lambda *c: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in c))
+    url = F.when(k == 0, put(F.upper(scheme), "://", F.upper(host), rest)).when(k == 1, put(scheme, "://", host, port, rest)).when(k == 2, put(host, rest)).when(k == 3, put("ftp://", host, rest)).when(k == 4, put(scheme, ":\\\\", host, "/x/../.", rest)).otherwise(put(scheme, "://Bücher.", host, rest))
+    valid, rejected = io.requests(pages(spark, sf_dir).select("page_id", F.to_json(F.struct(url.alias("url"))).alias("value")))
+    return valid.select("page_id", "url", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("page_id", "url", "reason"))
+
+
+@registered("""SELECT event_id, CASE WHEN event_id % 11 <> 0 AND event_id % 4 < 2 THEN 'u' || event_id END AS url, CAST(CASE WHEN event_id % 11 <> 0 AND event_id % 4 < 2 THEN event_id % 4 END AS INT) AS reported_label, CASE WHEN event_id % 11 = 0 THEN 'json' WHEN event_id % 4 >= 2 THEN 'label' END AS reason FROM events""")
+def report_requests(spark, sf_dir):
+    """Reports as JSON, some cut off and some with labels that aren't: those that are valid, and the others with a reason."""
+    e = read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), (F.col("event_id") % 4).alias("reported_label"))).alias("value"))
+    e = e.withColumn("value", F.when(F.col("event_id") % 11 == 0, F.left("value", F.lit(9))).otherwise(F.col("value")))
+    valid, rejected = io.reports(e)
+    return valid.select("event_id", "url", "reported_label", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("event_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("int").alias("reported_label"), "reason"))
+
+
+@registered(ORACLE_SQL["prediction_log"])
+def prediction_log_committed(spark, sf_dir):
+    """prediction_log through a log of three batches: one that was killed before its record, one that comes twice, and a compaction of all."""
+    path, kind = shared(spark), read(spark, sf_dir, "events").schema["ts"].dataType
+    records = scoring.score(visits(spark, sf_dir), stand_in, NET)
+    records.write.parquet(f"{path}/scored")
+    records = spark.read.parquet(f"{path}/scored")
+    part = lambda k: scoring.prediction_log(records.where(F.pmod("event_id", F.lit(3)) == k), F.col("ts")).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    logs._write(part(1), f"{path}/log", "b-1")
+    for k in (0, 1, 2, 1):
+        logs.append_log(part(k), f"{path}/log", k)
+    logs.compact(spark, f"{path}/log", scoring.LOG)
+    return logs.read_log(spark, f"{path}/log", scoring.LOG).drop("date").withColumn("timestamp", F.col("timestamp").cast(kind))
+
+
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels").select(F.col("toxic").alias("y"), (1 - F.col("quality")).alias("pred"))
 

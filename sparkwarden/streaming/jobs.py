@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from sparkwarden.operators import scoring
+from sparkwarden.sources.logs import append_log
 
 #: Kinds of events, in the order in which those of one time count; a tick only says that time has passed.
 SHOWN, CLOSE, CLICK, TICK = 0, 1, 2, 3
@@ -20,14 +21,14 @@ LIFE = 5 * 60 * 1_000_000  # microseconds that a notification lives
 def score_stream(visits: DataFrame, model: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, log: str | None = None, once: bool = False, trusted: tuple[str, ...] = scoring.TRUSTED) -> StreamingQuery:
     """Score completed visits (url, status, ...) as they arrive; each batch writes its verdicts, and its untrusted part to the log.
 
-    Folders are by batch (`batch=<number>`), and a batch that is tried again overwrites its own, so nothing is written twice.
+    Verdicts are in folders by batch (`batch=<number>`); a batch that is tried again overwrites its own. The log takes each batch once (sources.logs). So nothing is written twice.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         scored = scoring.message(scoring.score(scoring.completed(df), model, trusted)).persist()
         scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
         if log:
-            scoring.prediction_log(scored).write.mode("overwrite").parquet(f"{log}/batch={number}")
+            append_log(scoring.prediction_log(scored), log, number)
         scored.unpersist()
 
     writer = visits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -108,12 +109,12 @@ def _order(e: tuple) -> tuple:
     return at, kind, button is not None, button or 0, shown_id is not None, shown_id or ""
 
 
-def feedback_stream(shown: DataFrame, clicks: DataFrame, closes: DataFrame, out: str, checkpoint: str, late: str = "1 minute", once: bool = False, ticks: DataFrame | None = None) -> StreamingQuery:
+def feedback_stream(shown: DataFrame, clicks: DataFrame, closes: DataFrame, out: str | None, checkpoint: str, late: str = "1 minute", once: bool = False, ticks: DataFrame | None = None, log: str | None = None) -> StreamingQuery:
     """Feedback on notifications (shown_id, id, shown_ts, url) from clicks (id, click_ts, button) and closes (id, close_ts), in the order of event time.
 
     The first click within five minutes reports, once; a close before it (or at its time) voids it. However events arrive and whatever batches they fall in, the result is
     that of the batch chain, as long as none comes later than `late` behind the newest; such rows are dropped, as everywhere in Spark. Reports come out when the watermark has
-    passed their click. ticks(ts) are times that pass without events: they move the watermark and nothing else. Ids are of any type that has a text form, and come back in the type
+    passed their click, as files of `out`, or, where a `log` is given instead, as batches of that log. ticks(ts) are times that pass without events: they move the watermark and nothing else. Ids are of any type that has a text form, and come back in the type
     of `shown`. Rows without id or time are left out. State is kept by RocksDB; the session's own setting stays as it is.
     """
     spark, none = shown.sparkSession, lambda t: F.lit(None).cast(t)
@@ -127,7 +128,8 @@ def feedback_stream(shown: DataFrame, clicks: DataFrame, closes: DataFrame, out:
     types = {c: shown.schema[c].dataType for c in ("shown_id", "id")}
     said = events.groupBy("id").transformWithState(Feedback(), _SAID, "append", "eventTime")
     records = said.select(*(F.col(c).cast(t).alias(c) for c, t in types.items()), "url", "reported_label", F.timestamp_micros("at").alias("timestamp"))
-    writer = records.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    writer = records.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(lambda df, number: append_log(df, log, number) and None) if log else writer.format("parquet").option("path", out)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKSDB)  # a query keeps the settings that it starts with

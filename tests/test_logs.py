@@ -1,0 +1,71 @@
+from datetime import date, datetime
+
+import pytest
+
+from sparkwarden.sources import logs
+
+SCHEMA = "url string, prediction int, timestamp timestamp"
+
+
+def batch(spark, *rows):
+    return spark.createDataFrame([(u, 1, datetime(2024, 1, d, 12) if d else None) for u, d in rows], SCHEMA)
+
+
+def urls(spark, path):
+    return sorted(r.url for r in logs.read_log(spark, path, SCHEMA).collect())
+
+
+def test_each_batch_counts_once(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    assert logs.read_log(spark, path, SCHEMA).columns == ["url", "prediction", "timestamp", "date"] and urls(spark, path) == []
+    assert logs.append_log(batch(spark, ("a", 1), ("b", 2), ("c", None)), path, 0)
+    assert not logs.append_log(batch(spark, ("a", 1), ("b", 2), ("c", None)), path, 0)
+    assert logs.append_log(batch(spark, ("a", 1)), path, "other") and logs.append_log(batch(spark, ("d", 3)), path) and logs.append_log(batch(spark), path, 9)
+    assert urls(spark, path) == ["a", "a", "b", "c", "d"]
+    got = logs.read_log(spark, path, SCHEMA)
+    assert {r.url: r.date for r in got.where("date >= '2024-01-02'").collect()} == {"b": date(2024, 1, 2), "d": date(2024, 1, 3)}
+    assert "PartitionFilters: [isnotnull(date" in got.where("date = '2024-01-02'")._jdf.queryExecution().toString()
+
+
+def test_a_batch_killed_before_its_record_leaves_one_copy(spark, tmp_path, monkeypatch):
+    """Files without a record are never read, and the batch can be written again; so with a record that was cut off."""
+    path = f"{tmp_path}/log"
+
+    def dies(*_, **__):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(logs, "_commit", dies)
+        for _ in range(2):
+            with pytest.raises(RuntimeError):
+                logs.append_log(batch(spark, ("a", 1), ("b", 2)), path, 0)
+    assert spark.read.parquet(f"{path}/data").count() == 4 and urls(spark, path) == []
+    (tmp_path / "log/commits/b-0/_temporary").mkdir(parents=True)
+    assert urls(spark, path) == [] and logs.append_log(batch(spark, ("a", 1), ("b", 2)), path, 0)
+    assert urls(spark, path) == ["a", "b"] and spark.read.parquet(f"{path}/data").count() == 6
+
+
+def test_compaction(spark, tmp_path, monkeypatch):
+    """One copy before, while and after; few files a day; batches that a compaction holds stay known; compacting again."""
+    path = f"{tmp_path}/log"
+    for k in range(4):
+        logs.append_log(batch(spark, *((f"u{k}{d}", d) for d in (1, 2)), (f"n{k}", None)).repartition(3), path, k)
+    want = urls(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(logs, "_commit", lambda *_, **__: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            logs.compact(spark, path, SCHEMA)
+    assert urls(spark, path) == want and len(want) == 12
+    assert logs.compact(spark, path, SCHEMA) == 4
+    assert urls(spark, path) == want and logs.read_log(spark, path, SCHEMA).select("url").distinct().count() == 12
+    assert spark.read.parquet(f"{path}/data").where("batch like 'b-compacted%'").selectExpr("input_file_name() as f").distinct().count() <= 6
+    assert not logs.append_log(batch(spark, ("u01", 1)), path, 0) and logs.compact(spark, path, SCHEMA) == 0
+    assert logs.append_log(batch(spark, ("late", 1)), path, 4) and logs.compact(spark, path, SCHEMA, rows_per_file=2) == 2
+    assert urls(spark, path) == sorted([*want, "late"])
+
+
+def test_columns_of_the_log(spark, tmp_path):
+    with pytest.raises(ValueError, match="date"):
+        logs.append_log(spark.sql("select timestamp'2024-01-01 00:00:00' as timestamp, 1 as Date"), f"{tmp_path}/log")
+    spark.range(1).write.parquet(f"{tmp_path}/other")
+    assert logs.commits(spark, f"{tmp_path}/nowhere").count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.operators import scoring
 from sparkwarden.plans.queries import QUERIES
+from sparkwarden.sources.logs import read_log
 from sparkwarden.streaming import jobs
 
 SF = "/root/testdata/sf0.1"
@@ -52,7 +53,7 @@ def test_a_repeated_batch_writes_once(spark, tmp_path):
         jobs.score_stream(jobs.read_parquet_stream(spark, f"{tmp_path}/in", "*.parquet"), model, f"{tmp_path}/out", f"{tmp_path}/{state}", f"{tmp_path}/log", once=True, trusted=("trust.me",)).awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted((r.url, r.prediction, r.whitelisted) for r in got) == [("http://a.b/x", 1, False), ("http://www.trust.me/", 0, True)]
-    assert spark.read.parquet(f"{tmp_path}/log").count() == 1
+    assert read_log(spark, f"{tmp_path}/log", scoring.LOG).count() == 1
     nulls = spark.sql("select cast(null as string) as url, 'complete' as status")
     assert [r.whitelisted for r in scoring.score(nulls, model).collect()] == [False]
 
@@ -120,3 +121,14 @@ def test_a_click_may_arrive_before_its_notification(spark, tmp_path):
         streams = [jobs.read_parquet_stream(spark, f"{tmp_path}/{n}", "*.parquet") for n in ("shown", "clicks", "closes", "ticks")]
         jobs.feedback_stream(*streams[:3], f"{tmp_path}/out", f"{tmp_path}/state", late="1 hour", once=True, ticks=streams[3]).awaitTermination()
     assert [(r.shown_id, r.reported_label) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("n5", 1)]
+
+
+def test_feedback_as_a_log(spark, tmp_path):
+    """Reports as batches of a log, which a run on a fresh state does not write twice."""
+    for kind, events in (("shown", [("shown", "a", datetime(2024, 1, 1), 5)]), ("clicks", [("clicks", "a", datetime(2024, 1, 1, 0, 1), 0)]), ("closes", [])):
+        frame(spark, kind, events).coalesce(1).write.parquet(f"{tmp_path}/{kind}")
+    spark.createDataFrame([(datetime(2024, 1, 2),)], "ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/ticks")
+    for state in ("one", "two"):
+        streams = [jobs.read_parquet_stream(spark, f"{tmp_path}/{n}", "*.parquet") for n in ("shown", "clicks", "closes", "ticks")]
+        jobs.feedback_stream(*streams[:3], None, f"{tmp_path}/{state}", once=True, ticks=streams[3], log=f"{tmp_path}/log").awaitTermination()
+    assert [(r.shown_id, r.reported_label) for r in read_log(spark, f"{tmp_path}/log", "shown_id string, id string, url string, reported_label int, timestamp timestamp").collect()] == [("n5", 0)]
