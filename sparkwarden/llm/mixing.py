@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import SPACE, WORD, cut, fresh
+from sparkwarden.llm.common import SPACE, WORD, cut, fresh, table_of
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -147,7 +147,7 @@ def mixed_texts(docs: DataFrame, slots: bool = False, **settings) -> DataFrame:
     A row that a pass takes whole keeps its text as it is; one that a pass takes in part keeps those words, space-joined.
     Rows without words have nothing to take. Null and repeated doc_ids keep each row's own words, since rows go by a number of their own.
     """
-    own = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+    own = table_of(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
     sized = cut(own.select("row", *sizes_of(F.col("doc.doc_id"), F.col("doc.text"), F.col("doc.source"))))
     got, _ = mix(sized, **settings)
     runs = got.groupBy("row", "pass_no").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("size").alias("size"), F.min("slot").alias("slot"))
