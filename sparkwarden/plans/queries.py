@@ -415,7 +415,9 @@ def train_ensemble(spark, sf_dir):
     models.save_split(_training(spark, sf_dir), folder)
     train, test, _ = models.load_split(spark, folder)
     state = matrix.fitted_scaler(train)
-    ensemble = models.fit(matrix.scaled(train, state, keep=("label",)))
+    fitted_on = matrix.scaled(train, state, keep=("label",))
+    ensemble = models.fit(fitted_on)
+    logs.append_log(models.run_metrics(ensemble, fitted_on).withColumnRenamed("fitted_at", "timestamp"), f"{folder}/runs")
     out = ensemble.predict(matrix.scaled(test, state, keep=("page_id", "label")))
     return models.confusion(out.select(F.col("label").alias("y"), F.col("prediction").alias("pred")))
 
@@ -445,6 +447,24 @@ def stream_scores(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("event_id", "url", "prediction", "probability", "whitelisted")
 
 
+@registered()
+def stream_ensemble(spark, sf_dir):
+    """Visits scored by a fitted ensemble as they arrive, the first half by one version and the rest by the next, published in between."""
+    from sparkwarden.streaming import jobs
+
+    folder = shared(spark)
+    _training(spark, sf_dir).write.parquet(f"{folder}/matrix")
+    data = spark.read.parquet(f"{folder}/matrix")
+    state = matrix.fitted_scaler(data)
+    train = matrix.scaled(data, state, keep=("label",))
+    for k, version in enumerate(("one", "two")):
+        models.publish(models.fit(train, trees=20, rounds=10, depth=4 + 4 * k), state, f"{folder}/models", version)
+        visits(spark, sf_dir).where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == k).write.mode("append").parquet(f"{folder}/in")
+        served = models.Served(spark, f"{folder}/models")
+        jobs.score_stream(jobs.read_parquet_stream(spark, f"{folder}/in", "*.parquet"), served, f"{folder}/out", f"{folder}/state", f"{folder}/log", once=True, trusted=NET).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "url", "prediction", "probability", "whitelisted")
+
+
 @registered(f"""WITH {_MATCH}, c AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase'), k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = m.id AND c.ts <= m.click_ts AND c.ts >= m.shown_ts))
 SELECT shown_id, id, 'http://example.com/' AS url, CAST(button <> 0 AS INT) AS reported_label, click_ts AS timestamp FROM k QUALIFY row_number() OVER (PARTITION BY shown_id ORDER BY click_ts, button) = 1""")
 def stream_feedback(spark, sf_dir):
