@@ -7,6 +7,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkwarden.functions.characters import count_of
 from sparkwarden.functions.text import distinct_grams, entropy, flag, has, occurrences, runs, tokens
 from sparkwarden.functions.url import SUFFIXES, parsed
 
@@ -40,7 +41,7 @@ def expressions(u: str = "u") -> dict[str, Column]:
     out = {"url_length": F.length(s), "domain_length": F.length(d), "path_length": F.length(p)}
     out |= {f"count_{k}": occurrences(s, c) for k, c in COUNTED.items()}
     out |= {"count_www": occurrences(low, "www"), "count_com": occurrences(low, ".com")}
-    out |= {"digit_count": F.regexp_count(s, F.lit(r"\p{Nd}")), "letter_count": F.regexp_count(s, F.lit(r"\p{L}"))}
+    out |= {"digit_count": count_of(s, "digit"), "letter_count": count_of(s, "alpha")}
     out["digit_letter_ratio"] = out["digit_count"] / (out["letter_count"] + 1)
     out["has_ip_address"] = flag(d.rlike(r"^\d{1,3}(\.\d{1,3}){3}(:[0-9]+)?$"))
     out["has_port"] = has(d, ":")
@@ -51,12 +52,12 @@ def expressions(u: str = "u") -> dict[str, Column]:
     out |= {"query_length": F.length(q), "query_param_count": F.when(q != "", occurrences(q, "&") + 1).otherwise(0)}
     out["security_terms_count"] = sum((has(low, t) for t in SECURITY_TERMS[1:]), has(low, SECURITY_TERMS[0]))
     out |= {"entropy": F.col("_entropy"), "fragment_length": F.length(f), "domain_token_count": F.size(parts), "path_token_count": F.size(dirs)}
-    out |= {"special_char_ratio": share(r"[^\p{L}\p{N}]"), "upper_case_ratio": share(r"\p{Lu}"), "vowel_ratio": share("[aeiou]", low), "consonant_ratio": share("[b-df-hj-np-tv-z]", low)}
+    out |= {"special_char_ratio": (F.length(s) - count_of(s, "alnum")) / n, "upper_case_ratio": count_of(s, "upper") / n, "vowel_ratio": share("[aeiou]", low), "consonant_ratio": share("[b-df-hj-np-tv-z]", low)}
     out["unique_char_ratio"] = F.size("_runs") / n
     out |= {f"{k}_entropy": F.col(f"_{k}_entropy") for k in ("domain", "path", "query")}
     out["entropy_ratio"] = F.when(out["entropy"] > 0, out["domain_entropy"] / out["entropy"]).otherwise(out["domain_entropy"])
     whole = F.regexp_replace(F.concat_ws(".", reg, suf), r"^\.+|\.+$", "")
-    out |= {"is_shortened": flag(whole.isin(*SHORTENERS)), "domain_has_digit": flag(reg.rlike(r"\p{Nd}")), "subdomain_has_digit": flag(sub.rlike(r"\p{Nd}"))}
+    out |= {"is_shortened": flag(whole.isin(*SHORTENERS)), "domain_has_digit": flag(count_of(reg, "digit") > 0), "subdomain_has_digit": flag(count_of(sub, "digit") > 0)}
     out |= {"tld": suf, "has_suspicious_tld": flag(suf.isin(*RISKY_SUFFIXES))}
     out |= {f"contains_{t}": has(low, t) for t in TERMS}
     for b in BRANDS:
