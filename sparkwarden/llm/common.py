@@ -41,6 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more, by Hadoop's file system, whatever store it lies in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there: lineage ends, and lost executors cost no recomputation."""
     shared_folder(df.sparkSession)

@@ -301,7 +301,7 @@ def redact(docs: DataFrame) -> DataFrame:
     Null texts stay null; rows without spans stay as they are.
     """
     rest = [c for c in docs.columns if c != "text"]
-    own = docs.select("text", F.struct(*rest, F.lit(0).alias("nothing")).alias("rest"))  # columns of any name
+    own = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in rest or ["text"])).alias("rest"))  # columns of any name
     scans = cut(scanned(own))  # each text is scanned once; the table written holds texts and spans
     kind = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     marked = scans.withColumn("_pii", accepted(classifier(scans)))

@@ -348,14 +348,17 @@ def _book(low: list[tuple[np.ndarray, np.ndarray]], facts: list[pd.DataFrame], o
 
 
 def scores(texts: list[bytes], known: np.ndarray, log: np.ndarray) -> np.ndarray:
-    """log10 probability of each whole text, its end included, from the logs of its (sorted) keys."""
+    """log10 probability of each whole text, its end included, from the logs of its (sorted) keys; ValueError if one of them is not there."""
     out = np.zeros(len(texts))
     for first, keys, sizes in slices(texts):
         # sorted by key, so that look-ups walk through the table in its order; the text's number rides in the low bits
         marked = np.sort(keys << PLACE | np.repeat(np.arange(len(sizes)), sizes))
         keys, place = marked >> PLACE, marked & ((1 << PLACE) - 1)
         begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        logs = log[np.searchsorted(known, keys[begin])]
+        found = np.searchsorted(known, keys[begin])
+        if len(found) and (found[-1] == len(known) or (known[found] != keys[begin]).any()):
+            raise ValueError("a context was not answered: the rows were dealt otherwise than when they were asked for")
+        logs = log[found]
         each = np.repeat(logs, np.diff(np.append(begin, len(keys))))
         out[first : first + len(sizes)] += np.bincount(place, each, len(sizes))
     return out

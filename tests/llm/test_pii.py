@@ -172,6 +172,8 @@ def test_redaction(spark):
 def test_odd_rows_and_empty(spark):
     got = pii.find(odd(spark)).collect()
     assert len(got) == 10
-    assert pii.redact(odd(spark)).count() == 10
+    same = pii.redact(odd(spark))
+    assert same.columns == odd(spark).columns and same.count() == 10 and {r["_pii"] for r in same.collect()} == {"x"}
+    assert [r.text for r in pii.redact(docs(spark, [(1, "to a.b@c.de", "a")]).select("text")).collect()] == ["to [EMAIL]"]
     assert pii.find(docs(spark, [])).collect() == []
     assert [r.spans for r in pii.find(docs(spark, [(1, "", "a"), (2, None, None)])).collect()] == ["", ""]

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 from collections import Counter
 from itertools import combinations
@@ -63,4 +64,7 @@ def test_near_dedup_against_plain_similarity(spark):
 
 
 def test_run(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).count() > 50
+    done = corpus_pipeline.run(spark, sf_dir)
+    assert done.count() > 50
+    (folder,) = {f.removeprefix("file:").rsplit("/", 2)[0] for f in done.inputFiles()}
+    assert os.listdir(folder) == ["4_bpe"]

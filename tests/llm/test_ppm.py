@@ -131,3 +131,11 @@ def test_packing_keeps_keys():
     found = np.concatenate([ppm.unpacked(a) for b, a in asked if b < 3])
     assert sorted(found.tolist()) == sorted({k for t in texts for k in _plain(t)})
     assert {w for b, a in asked if b >= 3 for w in zlib.decompress(a).split(b" ")} == {b"", b"abc", b"abd", b"xyz"}
+
+
+def test_a_missing_answer_is_told():
+    """Contexts that nothing answers are an error, never the score of a neighbour."""
+    with pytest.raises(ValueError, match="not answered"):
+        ppm.scores([b"some text"], np.array([1, 2, 3]), np.zeros(3))
+    with pytest.raises(ValueError, match="not answered"):
+        ppm.scores([b"some text"], np.array([1 << 62]), np.zeros(1))
