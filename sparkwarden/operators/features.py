@@ -82,6 +82,7 @@ MATRIX = tuple(n for n in NAMES if n != "tld")
 
 
 def features(df: DataFrame, url_col: str = "url", keep: tuple[str, ...] = (), names: tuple[str, ...] = NAMES, rules: tuple[str, ...] | DataFrame = SUFFIXES) -> DataFrame:
-    """The columns `keep` of df and the named features of its URL column; a narrow plan without UDFs."""
+    """The columns `keep` of df and the named features of its URL column; a narrow plan without UDFs. Kept columns may have any name."""
     made = expressions()
-    return staged(parsed(df, url_col, rules)).select(*keep, *(made[n].alias(n) for n in names))
+    own = [F.col(url_col).cast("string").alias("url"), *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept")] if keep else [])]
+    return staged(parsed(df.select(*own), "url", rules)).select(*(F.col(f"kept.`{c}`").alias(c) for c in keep), *(made[n].alias(n) for n in names))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwarden.functions.text import fresh
+
 #: Hosts that are trusted without a model.
 TRUSTED = (
     "github.com", "google.com", "wikipedia.org", "facebook.com", "twitter.com", "linkedin.com", "youtube.com", "amazon.com", "apple.com", "microsoft.com", "bbc.com", "nytimes.com", "cnn.com",
@@ -39,8 +41,9 @@ def score(visits: DataFrame, model: Callable[[DataFrame], DataFrame], trusted: t
     known = F.coalesce(trust_key(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)).isin(*trusted), F.lit(False))
     passed = urls.where(known).select("url", F.lit(0).alias("prediction"), F.lit(1.0).alias("probability"), F.lit(True).alias("whitelisted"))
     judged = model(urls.where(~known)).select("url", "prediction", "probability", F.lit(False).alias("whitelisted"))
-    verdicts = passed.unionByName(judged).withColumnRenamed("url", "_url")
-    return visits.drop(*verdict).join(verdicts, F.col("url").eqNullSafe(F.col("_url"))).drop("_url")
+    of = fresh(visits, "url")
+    verdicts = passed.unionByName(judged).withColumnRenamed("url", of)
+    return visits.drop(*verdict).join(verdicts, F.col("url").eqNullSafe(F.col(of))).drop(of)
 
 
 def prediction_log(scored: DataFrame, now: Column | None = None) -> DataFrame:
@@ -69,21 +72,23 @@ def valid_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def clicks_on_live(shown: DataFrame, clicks: DataFrame) -> DataFrame:
     """Clicks (id, click_ts, button) on notifications (id, shown_ts, url) that are at most five minutes old; serves streams too if both have watermarks."""
-    c = clicks.withColumnRenamed("id", "_id")
+    of = fresh(shown, "id")
     live = (F.col("click_ts") >= F.col("shown_ts")) & (F.col("click_ts") < F.col("shown_ts") + F.expr(f"interval {ALIVE}"))
-    return shown.join(c, (F.col("id") == F.col("_id")) & live).drop("_id")
+    return shown.join(clicks.withColumnRenamed("id", of), (F.col("id") == F.col(of)) & live).drop(of)
 
 
 def first_click(matched: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
     """The earliest click of each notification."""
+    place = fresh(matched, "place")
     w = Window.partitionBy(*by).orderBy("click_ts", "button")
-    return matched.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return matched.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
 
 
 def unless_closed(matched: DataFrame, closes: DataFrame) -> DataFrame:
     """Clicks without an earlier close (id, close_ts) of their notification."""
-    c = closes.withColumnRenamed("id", "_id")
-    return matched.join(c, (F.col("id") == F.col("_id")) & (F.col("close_ts") <= F.col("click_ts")) & (F.col("close_ts") >= F.col("shown_ts")), "left_anti")
+    of = fresh(matched, "id")
+    c = closes.select(F.col("id").alias(of), "close_ts")
+    return matched.join(c, (F.col("id") == F.col(of)) & (F.col("close_ts") <= F.col("click_ts")) & (F.col("close_ts") >= F.col("shown_ts")), "left_anti")
 
 
 def feedback(matched: DataFrame, now: Column | None = None) -> DataFrame:

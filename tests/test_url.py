@@ -134,3 +134,17 @@ def test_entropy_and_grams_by_character(spark):
         want = -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
         grams = [s[i : i + 2] for i in range(len(s) - 1)]
         assert abs(r.e - want) < 1e-9 and r.n == len(set(s)) and r.g == (len(set(grams)) / len(grams) if grams else 0)
+
+
+def test_columns_of_any_name(spark):
+    """What operators call things inside never meets what a table calls them."""
+    inside = ["_low", "_host", "_runs", "_parts", "u", "kept", "_url", "_url_", "_id", "_r", "_place_", "_url_clean", "_split_md", "nothing", "_dirs"]
+    df = urls(spark, ["http://a.b.com/x", None]).withColumns({c: F.lit(f"own {c}") for c in inside})
+    got = features(df, keep=tuple(df.columns), names=("url_length", "entropy", "path_depth")).collect()
+    assert [r.url_length for r in got] == [16, None] and all(r[c] == f"own {c}" for r in got for c in inside)
+    model = lambda x: x.withColumns({"prediction": F.lit(1), "probability": F.lit(-1.0)})
+    assert all(r[c] == f"own {c}" for r in scoring.score(df, model).collect() for c in inside)
+    shown = df.select("k", F.lit(1).alias("id"), F.lit(dt.datetime(2024, 1, 1)).alias("shown_ts"), *inside)
+    clicks = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 0, 1), 0)], "id int, click_ts timestamp, button int")
+    matched = scoring.unless_closed(scoring.first_click(scoring.clicks_on_live(shown, clicks), ("k",)), spark.createDataFrame([(2, dt.datetime(2024, 1, 1), "x")], "id int, close_ts timestamp, _id string"))
+    assert matched.count() == 2 and all(r[c] == f"own {c}" for r in matched.collect() for c in inside)
