@@ -58,7 +58,7 @@ def table_of(df: DataFrame) -> DataFrame:
     if "void" in df.schema.simpleString():
         return cut(df)
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
