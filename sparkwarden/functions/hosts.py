@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 BASE, TMIN, TMAX, SKEW, DAMP, BIAS, FIRST = 36, 1, 26, 38, 700, 72, 128
 DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
 #: Code points that host names lose before they are looked up.
-IGNORED = "­͏​⁠⁤﻿" + "".join(map(chr, range(0xFE00, 0xFE10)))
+IGNORED = "\u00ad\u034f\u200b\u2060\u2064\ufeff" + "".join(map(chr, range(0xFE00, 0xFE10)))
 #: Other full stops between labels.
-STOPS = "。．｡"
+STOPS = "\u3002\uff0e\uff61"
 
 
 @cache
