@@ -128,8 +128,12 @@ def feedback_stream(shown: DataFrame, clicks: DataFrame, closes: DataFrame, out:
     types = {c: shown.schema[c].dataType for c in ("shown_id", "id")}
     said = events.groupBy("id").transformWithState(Feedback(), _SAID, "append", "eventTime")
     records = said.select(*(F.col(c).cast(t).alias(c) for c, t in types.items()), "url", "reported_label", F.timestamp_micros("at").alias("timestamp"))
+    def logged(df: DataFrame, number: int) -> None:
+        if not append_log(df, log, number):
+            df.write.format("noop").mode("overwrite").save()  # the log has it, but the state still has to be brought up to this batch
+
     writer = records.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    writer = writer.foreachBatch(lambda df, number: append_log(df, log, number) and None) if log else writer.format("parquet").option("path", out)
+    writer = writer.foreachBatch(logged) if log else writer.format("parquet").option("path", out)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKSDB)  # a query keeps the settings that it starts with
