@@ -210,3 +210,26 @@ def test_hot_keys_join_apart(spark):
         assert "Union" in got._jdf.queryExecution().analyzed().toString()
     assert join_hot(rows.where("k > 8"), named, "k").count() == rows.where("k > 8").join(named, "k").count()
     assert join_hot(rows.limit(0), named, "k").count() == 0
+
+
+def test_no_near_copy_is_lost(spark):
+    """Every two texts at the similarity link, among so many that they are not all compared; a passage that hundreds share neither hides copies nor makes them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} or {tuple(t)}
+    passage, rows, pairs = [word() for _ in range(60)], [], []
+    while len(pairs) < 2_000:
+        text = [word() for _ in range(rng.choice([3, 24, 50, 120]))]
+        at = rng.randrange(len(text))
+        other = rng.choice([text[:at] + [word()] + text[at + 1 :], text + [word(), word()], text[:at] + text[at + 2 :], text])
+        if rng.random() < 0.1:
+            text, other = passage + text, passage + other
+        a, b = shingles(text), shingles(other)
+        if 0.8 <= len(a & b) / len(a | b) < 0.86 or text == other:
+            pairs.append((2 * len(pairs), 2 * len(pairs) + 1))
+            rows += [(pairs[-1][0], " ".join(text), "a"), (pairs[-1][1], " ".join(other).upper(), "a")]
+    alike = [(10_000 + k, " ".join([*passage, word(), word()]), "a") for k in range(300)]  # of each other
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, rows + alike), **simhash.COPIES).collect()}
+    assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+    assert len({got[i] for i, _, _ in alike}) == 1
+    assert sum(got[a] == a for a, _ in pairs) > 1_700  # pairs don't run into one another
